@@ -125,7 +125,7 @@ _LOWER[65:91] = _BYTE[97:123]
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
-_POWERS = np.ones(64, np.uint64)
+_POWERS = np.zeros(0, np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -138,7 +138,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 def _powers(n: int) -> np.ndarray:
     global _POWERS
     if len(_POWERS) < n:
-        _POWERS = np.cumprod(np.concatenate([[np.uint64(1)], np.full(max(n, 2 * len(_POWERS)), _BASE)]).astype(np.uint64))
+        _POWERS = np.cumprod(np.concatenate([[np.uint64(1)], np.full(max(n, 64, 2 * len(_POWERS)), _BASE)]).astype(np.uint64))
     return _POWERS
 
 

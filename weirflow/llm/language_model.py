@@ -44,7 +44,7 @@ def _messages(docs: DataFrame, buckets: int, tokens: int) -> DataFrame:
         per = np.bincount(of, minlength=len(w)).astype("<u4")
         bucket = (w >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
         cuts = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
-        starts = np.append(0, np.cumsum(per))
+        starts = np.append(0, np.cumsum(per, dtype=np.int64))
         for b in np.flatnonzero(np.diff(cuts)):
             i, j = cuts[b], cuts[b + 1]
             p, q = starts[i], starts[j]

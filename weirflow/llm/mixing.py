@@ -45,13 +45,14 @@ def targets(slim: DataFrame, weights: tuple[float, ...], share: float, cap: floa
     sums.createOrReplaceTempView("_mix_sums")
     listed = ", ".join(str(float(w)) + "D" for w in weights)
     spark = slim.sparkSession
-    # the level c solves sum(least(cap * size, c * weight)) = share * all: sources fill up in the order of cap * size / weight
+    # the level c solves sum(least(cap * size, c * weight)) = share * all: sources fill up in the order of cap * size / weight,
+    # and of the levels that do not fill the source they start from, the largest counts the fewest as filled
     found = spark.sql(f"""
       with w as (select *, array({listed})[cast((row_number() over (order by source nulls last) - 1) % {len(weights)} as int)] as weight from _mix_sums),
       r as (select *, {cap} * source_size / weight as fill, {share} * sum(source_size) over () as want from w),
       k as (select *, want - coalesce(sum({cap} * source_size) over (order by fill, source nulls last rows between unbounded preceding and 1 preceding), 0) as left_want,
               sum(weight) over (order by fill, source nulls last rows between current row and unbounded following) as left_weight from r),
-      c as (select *, min(case when left_want / left_weight <= fill then left_want / left_weight end) over () as level from k)
+      c as (select *, max(case when left_want / left_weight <= fill then left_want / left_weight end) over () as level from k)
       select source, source_size, least({cap} * source_size, coalesce(level, {cap} * source_size) * weight) as target, s0, s1, s2 from c""")
     # the rate of copies of a document is least(cap, rate_c * utility), so that expected words meet the target
     return staged(found.selectExpr("source", "source_size", "cast(target as double) as target", f"cast({cap} as double) as cap", f"""case

@@ -102,13 +102,21 @@ def _p_value(x: Column) -> Column:
     return F.when(x["name"].isNotNull(), F.struct((x["name"] * CLASSES + F.greatest(F.lit(0), grade)).alias("stratum"), F.least(F.lit(1.0), F.greatest(p, F.lit(1e-300))).alias("p")))
 
 
+def _kind(k: int):
+    return lambda x: F.struct(x["s"].alias("s"), F.lit(k).alias("k"), x["e"].alias("e"))
+
+
+def _is(k: int):
+    return lambda x: x["k"] == k
+
+
 def scanned(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds base (k, s, e) and cand (s, e, stratum, p) to every row; both arrays, empty where nothing is found."""
     t = F.coalesce(F.col(text), F.lit(""))
     out = docs
     for k, pattern in enumerate((ASSIGN, ACCESS, HEX)):
         out = out.withColumn(f"_k{k}", _matches(t, pattern))
-    base = F.array_sort(F.concat(*[F.transform(f"_k{k}", lambda x, k=k: F.struct(x["s"].alias("s"), F.lit(k).alias("k"), x["e"].alias("e"))) for k in range(3)]))
+    base = F.array_sort(F.concat(*[F.transform(f"_k{k}", _kind(k)) for k in range(3)]))
     out = out.withColumn("base", base).withColumn("_t", _matches(t, TOKEN))
     free = F.filter("_t", lambda x: ~F.exists("base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
     cand = F.transform(free, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), _tested(x["v"]).alias("test")))
@@ -149,7 +157,7 @@ def with_spans(found: DataFrame, cut: dict[int, int]) -> DataFrame:
         least = F.try_element_at(limit, x["test"]["stratum"])
         return least.isNull() | (_bin(x["test"]["p"]) < least)
 
-    more = F.transform(F.filter("cand", stays), lambda x: F.struct(x["s"].alias("s"), F.lit(3).alias("k"), x["e"].alias("e")))
+    more = F.transform(F.filter("cand", stays), _kind(3))
     return found.withColumn("all", F.array_sort(F.concat("base", more)))
 
 
@@ -166,7 +174,7 @@ def secrets(docs: DataFrame, rate: float = 0.05) -> DataFrame:
     """
     found = staged(scanned(docs.select("doc_id", "text")).select("doc_id", "base", "cand"))
     out = with_spans(found, dismissal(found, rate))
-    counts = [F.size(F.filter("base", lambda x, k=k: x["k"] == k)).cast("long").alias(f"n_{KINDS[k]}") for k in range(3)]
+    counts = [F.size(F.filter("base", _is(k))).cast("long").alias(f"n_{KINDS[k]}") for k in range(3)]
     return out.select("doc_id", *counts, F.sha2(_joined("base"), 256).alias("base_sha256"), _joined("all").alias("spans"))
 
 
