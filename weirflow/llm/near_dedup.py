@@ -124,7 +124,8 @@ def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
                 part = batch.iloc[p:q]
                 doc, element, times = shingles(part["text"].tolist())
                 cuts = np.searchsorted(doc, np.arange(len(part) + 1))
-                low = element.astype("<u8")
+                # the upper half of each hash keeps the order
+                low = (element >> np.uint64(16)).astype("<u4")
                 rows = [(low[a:b].tobytes(), times[a:b].astype("<u4").tobytes() if (times[a:b] > 1).any() else b"") for a, b in zip(cuts, cuts[1:])]
                 yield pd.DataFrame({"id": part["doc_id"].to_numpy(), "hashes": [r[0] for r in rows], "times": [r[1] for r in rows]})
 
@@ -132,41 +133,50 @@ def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return texts.mapInPandas(run, "id long, hashes binary, times binary")
 
 
-def verified(docs: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
+def _load(hashes: bytes, times: bytes) -> tuple[np.ndarray, np.ndarray]:
+    h = np.frombuffer(hashes, "<u4")
+    return h, weight(np.frombuffer(times, "<u4")) if times else np.ones(len(h))
+
+
+def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """The pairs (a, b) whose exact similarity is ``least`` or more."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        load = lambda h, t: (np.frombuffer(h, "<u8"), weight(np.frombuffer(t, "<u4")) if t else np.ones(len(h) // 8))
         for batch in batches:
-            good = [similarity(load(p, q), load(r, s)) >= least - 1e-12 for p, q, r, s in zip(batch["ha"], batch["ta"], batch["hb"], batch["tb"])]
+            good = [similarity(_load(p, q), _load(r, s)) >= least - 1e-12 for p, q, r, s in zip(batch["ha"], batch["ta"], batch["hb"], batch["tb"])]
             yield batch.loc[np.array(good, bool), ["a", "b"]]
 
-    ids = staged(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
-    sets = staged(_sets(docs, ids).dropDuplicates(["id"]))
     left = sets.select(F.col("id").alias("a"), F.col("hashes").alias("ha"), F.col("times").alias("ta"))
     right = sets.select(F.col("id").alias("b"), F.col("hashes").alias("hb"), F.col("times").alias("tb"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "ha", "ta", "hb", "tb").mapInPandas(run, "a long, b long")
 
 
-def _likely(least: float):
-    """Pairs of a bucket, tile by tile, of different components whose signatures agree nearly enough.
+def _joining(least: float):
+    """Links that join components within a bucket, tile by tile.
 
-    Of the pairs between two components a spanning set would not do, since each must still be verified.
+    Pairs of different components are compared by signature, those near enough exactly. A pair that shares an earlier
+    band was compared there. Only links that join what was still apart come out, never all pairs.
     """
     m = BANDS * ROWS
     floor = least - 5 * np.sqrt(least * (1 - least) / m)
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         sig = np.frombuffer(b"".join(group["sig"]), "<u2").reshape(-1, m)
-        doc, root, side = group["doc"].to_numpy(), group["root"].to_numpy(), group["side"].to_numpy()
+        doc, root, side, band = group["doc"].to_numpy(), group["root"].to_numpy().copy(), group["side"].to_numpy(), int(group["band"].iloc[0])
+        hashes, times = group["hashes"].to_numpy(), group["times"].to_numpy()
         left, right = np.flatnonzero(side != 2), np.flatnonzero(side != 1)
-        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        out = []
         for i in left:
             other = right[(root[right] != root[i]) & ((side[right] == 2) | (doc[right] > doc[i]))]
-            near = other[(sig[other] == sig[i]).mean(1) >= floor]
-            a.append(np.full(len(near), doc[i]))
-            b.append(doc[near])
-        return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
+            same = sig[other] == sig[i]
+            near = same.mean(1) >= floor
+            near &= ~same[:, : band * ROWS].reshape(len(other), band, ROWS).all(2).any(1)
+            mine = _load(hashes[i], times[i])
+            for j in other[near]:
+                if root[i] != root[j] and similarity(mine, _load(hashes[j], times[j])) >= least - 1e-12:
+                    out.append((doc[i], doc[j]))
+                    root[root == root[j]] = root[i]
+        return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
 
     return run
 
@@ -188,24 +198,25 @@ def classes(docs: DataFrame, least: float = 0.8, tile: int = 512) -> DataFrame:
     copies = made.select("doc_id", "h", "g").join(same, ["h", "g"]).select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).filter("a != b")
     copies = staged(copies)
     ones = made.filter("bands is not null").select("doc_id", "h", "g", "bands").join(copies.select(F.col("b").alias("doc_id")), "doc_id", "left_anti")
-    rows = staged(ones.select(F.col("doc_id").alias("doc"), F.explode("bands").alias("key")))
+    rows = staged(ones.select(F.col("doc_id").alias("doc"), F.posexplode("bands").alias("band", "key")))
     shared = staged(rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"))
     members = staged(rows.join(shared, "key"))
     degree = staged(members.groupBy("doc").agg(F.sum("n").alias("degree")))
+    sets = staged(_sets(docs, degree.select(F.col("doc").alias("id"))).dropDuplicates(["id"]))
     hubs = staged(members.join(degree, "doc").groupBy("key").agg((-F.max(F.struct("degree", -F.col("doc"))).getField("col2")).alias("hub")))
     pairs = staged(members.join(hubs, "key").filter("doc != hub").select(F.col("hub").alias("a"), F.col("doc").alias("b")).distinct())
-    links = staged(verified(docs, pairs, least))
+    links = staged(verified(pairs, sets, least))
     roots = staged(components(links.union(copies)))
     # what a bucket still holds apart
-    rooted = staged(members.filter("n > 2").join(roots, F.col("doc") == F.col("node"), "left").select("key", "doc", F.coalesce("root", "doc").alias("root")))
+    rooted = staged(members.filter("n > 2").join(roots, F.col("doc") == F.col("node"), "left").select("key", "band", "doc", F.coalesce("root", "doc").alias("root")))
     apart = staged(rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.ceil(F.count("*") / tile).cast("int").alias("n")).filter("x != y").select("key", "n"))
     i = F.pmod(F.xxhash64("doc"), F.col("n")).cast("int")
     both = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda j: F.struct(F.least("i", j).alias("x"), F.greatest("i", j).alias("y"), F.when(j == F.col("i"), 0).when(F.col("i") < j, 1).otherwise(2).alias("side")))
-    tiles = rooted.join(apart, "key").withColumn("i", i).withColumn("t", F.explode(both)).select("key", "doc", "root", "t.x", "t.y", "t.side")
-    signed = tiles.join(made.select(F.col("doc_id").alias("doc"), "sig").dropDuplicates(["doc"]), "doc")
-    likely = staged(signed.groupBy("key", "x", "y").applyInPandas(_likely(least), "a long, b long").distinct())
-    if likely.head(1):
-        more = staged(verified(docs, likely, least))
+    content = made.select(F.col("doc_id").alias("doc"), "sig").dropDuplicates(["doc"]).join(sets.withColumnRenamed("id", "doc"), "doc")
+    held = rooted.join(apart, "key").join(content, "doc").withColumn("i", i).withColumn("t", F.explode(both))
+    held = held.select("key", "band", "doc", "root", "sig", "hashes", "times", "t.x", "t.y", "t.side")
+    more = staged(held.groupBy("key", "x", "y").applyInPandas(_joining(least), "a long, b long").distinct())
+    if more.head(1):
         roots = staged(components(links.union(copies).union(more)))
     out = made.select("doc_id").distinct().join(roots, F.col("doc_id") == F.col("node"), "left")
     return out.select("doc_id", F.coalesce("root", "doc_id").alias("class_id")).withColumn("kept", F.col("doc_id") == F.col("class_id"))
