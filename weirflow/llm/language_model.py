@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
@@ -52,7 +53,7 @@ def _messages(docs: DataFrame, buckets: int, tokens: int) -> DataFrame:
         lost = np.array([i is None for i in ids])
         key = np.array([0 if i is None else i for i in ids], "<i8")
         flags = (np.array(held, bool) + 2 * lost).astype("u1")
-        yield {"kind": 1, "bucket": 0, "chunk": number, "w": key.tobytes(), "n": (counts + 1).astype("<u4").tobytes(), "ctx": flags.tobytes(), "cnt": place.astype("<u4").tobytes()}
+        yield {"kind": 1, "bucket": 0, "chunk": number, "w": key.tobytes(), "n": (counts + 1).astype("<u4").tobytes(), "ctx": flags.tobytes(), "cnt": _tight(place.astype("<u4"))}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         number = TaskContext.get().partitionId() << 24
@@ -75,6 +76,15 @@ def _messages(docs: DataFrame, buckets: int, tokens: int) -> DataFrame:
     return read.mapInPandas(run, f"kind int, {MESSAGE}")
 
 
+def _tight(x: np.ndarray) -> bytes:
+    """Numbers byte by byte, the high ones together, compressed."""
+    return zstandard.ZstdCompressor(1).compress(np.ascontiguousarray(x.view("u1").reshape(-1, 4).T).tobytes())
+
+
+def _loose(x: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(x), "u1").reshape(4, -1).T).view("<u4").ravel()
+
+
 def held_out(key: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 7 == 2, F.lit(False))
 
@@ -225,7 +235,7 @@ def scored(docs: DataFrame, sweeps: int = 3, burn: int = 1, tokens: int = 2_000_
         out = []
         for row in places.itertuples():
             length = np.frombuffer(row.n, "<u4").astype(np.int64)
-            place, starts = np.frombuffer(row.cnt, "<u4"), np.cumsum(length) - length
+            place, starts = _loose(row.cnt), np.cumsum(length) - length
             flags = np.frombuffer(row.ctx, "u1")
             ids = pd.array(np.frombuffer(row.w, "<i8"), "Int64")
             ids[(flags & 2) > 0] = pd.NA

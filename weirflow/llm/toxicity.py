@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 import string
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -189,14 +188,19 @@ class Scorer:
 
 def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 1.0, steps: int = 30) -> tuple[np.ndarray, float]:
     """Linear machine with squared hinge loss, by Newton steps over the rows inside the margin."""
-    x1 = np.column_stack([x, np.ones(len(x))])
-    w = np.zeros(x1.shape[1])
+    w = np.zeros(x.shape[1] + 1)
     ridge = np.diag(np.append(np.full(x.shape[1], 0.5 / c), 1e-6))
     inside = np.ones(len(x), bool)
     for _ in range(steps):
-        a, k = x1[inside], weight[inside]
-        w = np.linalg.solve((a * k[:, None]).T @ a + ridge, a.T @ (k * y[inside]))
-        before, inside = inside, y * (x1 @ w) < 1
+        gram, right = ridge.copy(), np.zeros(len(w))
+        for a in range(0, len(x), 50_000):
+            part = inside[a : a + 50_000]
+            rows = np.column_stack([x[a : a + 50_000][part], np.ones(part.sum())]).astype(np.float64)
+            k = weight[a : a + 50_000][part]
+            gram += (rows * k[:, None]).T @ rows
+            right += rows.T @ (k * y[a : a + 50_000][part])
+        w = np.linalg.solve(gram, right)
+        before, inside = inside, y * (x @ w[:-1] + w[-1]) < 1
         if (before == inside).all():
             break
     return w[:-1], float(w[-1])
@@ -213,33 +217,31 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1
     return w
 
 
-def _landmarks(toxic: list[str | None], clean: list[str | None], most: int) -> tuple[list[str], int]:
-    """Words that tell toxic texts most, then frequent words; none too like one before it. And how many of the first kind."""
-    seen: tuple[Counter, Counter] = (Counter(), Counter())
-    for texts, c in zip((clean, toxic), seen):
-        for t in texts:
-            c.update({f for w in units(t) if 4 <= len(f := folded(w)) <= WINDOW})
-    n0, n1 = len(clean) + 1, len(toxic) + 1
-    share, least = n1 / (n0 + n1), np.log(1 + len(seen[1]))
-
-    def surprise(k: int, n: int) -> float:
-        """Log of how unlikely k toxic of n texts are by chance; a word counts past the log of the number of words tried."""
-        r = k / n
-        return k * np.log(r / share) + (n - k) * np.log(max(1 - r, 1e-12) / (1 - share)) if r > share else 0.0
+def _landmarks(words: list[str], toxic: np.ndarray, clean: np.ndarray, texts: tuple[int, int], most: int) -> tuple[list[str], int]:
+    """Words that tell toxic texts, then frequent words; none too like one before it. And how many of the first kind.
 
-    gain = {w: g for w, k in seen[1].items() if (g := surprise(k, k + seen[0][w])) > least}
+    toxic and clean: in how many texts of each kind a word is. A word tells if its toxic share is less likely by chance than
+    one in the number of words tried.
+    """
+    share = (texts[0] + 1) / (sum(texts) + 2)
+    usual = np.array([4 <= len(w) <= WINDOW for w in words])
+    with np.errstate(divide="ignore", invalid="ignore"):
+        rate = toxic / (toxic + clean)
+        surprise = np.nan_to_num(toxic * np.log(rate / share)) + np.nan_to_num(clean * np.log(np.maximum(1 - rate, 1e-12) / (1 - share)))
+    telling = usual & (rate > share) & (surprise > np.log(1 + (toxic > 0).sum()))
     chosen: list[str] = []
 
-    def extend(words: list[str], upto: int, alike: float = 0.8**POWER) -> None:
-        for w in words:
+    def extend(order: list[int], upto: int) -> None:
+        for i in order:
             if len(chosen) >= upto:
                 break
-            if not chosen or Landmarks(chosen).kernel([w]).max() < alike:
-                chosen.append(w)
+            if not chosen or Landmarks(chosen).kernel([words[i]]).max() < 0.8**POWER:
+                chosen.append(words[i])
 
-    extend(sorted(gain, key=lambda w: (-gain[w], w)), most * 7 // 8)
+    extend(sorted(np.flatnonzero(telling).tolist(), key=lambda i: (-surprise[i], words[i])), most * 7 // 8)
     told = len(chosen)
-    extend([w for w, _ in sorted(seen[0].items(), key=lambda x: (-x[1], x[0]))[:200]], most)
+    frequent = np.flatnonzero(usual & (clean > 0))
+    extend(sorted(frequent.tolist(), key=lambda i: (-clean[i], words[i]))[:200], most)
     return chosen, told
 
 
@@ -248,38 +250,37 @@ def fit(texts: list[str | None], labels: list[int], prevalence: float | None = N
     are negatives; of toxic texts those like a telling landmark, then those that the first machine chose, are positives.
     ``prevalence``: the share of toxic texts where the sample's differs."""
     texts, y = list(texts), np.array(labels, int)
-    if y.min(initial=1) == y.max(initial=0) or not len(y):
-        rate = float(y.mean()) if len(y) else 0.0
-        rate = min(1 - 1e-6, max(1e-6, rate))
-        return Model([], np.zeros(0), 0.0, np.array([np.log(rate / (1 - rate)), 0, 0, 0]), np.zeros(3), np.ones(3))
-    chosen, told = _landmarks([t for t, v in zip(texts, y) if v], [t for t, v in zip(texts, y) if not v], landmarks)
+    rate = min(1 - 1e-6, max(1e-6, float(y.mean()))) if len(y) else 1e-6
+    constant = Model([], np.zeros(0), 0.0, np.array([np.log(rate / (1 - rate)), 0, 0, 0]), np.zeros(3), np.ones(3))
+    if not 0 < y.sum() < len(y):
+        return constant
+    place: dict[str, int] = {}
+    held = [np.unique(np.fromiter((place.setdefault(folded(w), len(place)) for w in units(t)), np.int64)) for t in texts]
+    vocabulary = list(place)
+    toxic, clean = (np.bincount(np.concatenate([h for h, v in zip(held, y) if v == label]), minlength=len(place)) for label in (1, 0))
+    chosen, told = _landmarks(vocabulary, toxic, clean, (int(y.sum()), int((1 - y).sum())), landmarks)
     if not told:
-        return fit([], [])
+        return constant
     table = Landmarks(chosen)
     gram = table.kernel(chosen).astype(np.float64)
     values, vectors = np.linalg.eigh((gram + gram.T) / 2)
     good = values > 1e-6
     root = vectors[:, good] / np.sqrt(values[good])
-    split = [units(t) for t in texts]
-    vocabulary = sorted({w for ws in split for w in ws})
-    place = {w: i for i, w in enumerate(vocabulary)}
-    similar = table.kernel([folded(w) for w in vocabulary])
-    # a word is an instance once for each label under which a sentence holds it
-    bags = [np.unique(np.fromiter((place[w] for ws, v in zip(split, y) if v == label for w in ws), np.int64)) for label in (0, 1)]
-    clean = np.isin(np.arange(len(vocabulary)), bags[0])
-    toxic = np.isin(np.arange(len(vocabulary)), bags[1]) & ~clean
-    x, tells = similar.astype(np.float64) @ root, similar[:, :told].max(1)
-    positive = toxic & (tells >= 0.79**POWER)
+    similar = table.kernel(vocabulary)
+    x, tells = similar @ root.astype(np.float32), similar[:, :told].max(1)
+    del similar
+    only = (toxic > 0) & (clean == 0)
+    positive = only & (tells >= 0.79**POWER)
     beta, bias = np.zeros(x.shape[1]), 0.0
     for _ in range(2):
-        use = positive | clean
-        sign = np.where(positive, 1.0, -1.0)
-        weight = np.where(positive, 0.5 / max(1, positive.sum()), 0.5 / max(1, clean.sum())) * 1000
-        beta, bias = _svm(x[use], sign[use], weight[use])
-        # of a toxic document the machine's own choice among its sentences, near enough to a telling landmark
-        positive = toxic & (x @ beta + bias > 0) & (tells >= 0.58**POWER)
+        use = positive | (clean > 0)
+        weight = np.where(positive[use], 0.5 / max(1, positive.sum()), 0.5 / max(1, (clean > 0).sum())) * 1000
+        beta, bias = _svm(x[use], np.where(positive[use], 1.0, -1.0), weight)
+        # the machine's own choice among what toxic texts alone hold, near enough to a telling landmark
+        positive = only & (x @ beta + bias > 0) & (tells >= 0.58**POWER)
     model = Model(chosen, root @ beta, bias, np.zeros(4), np.zeros(3), np.ones(3))
-    found = Scorer(model).features(texts)
+    scorer = Scorer(model, 100_000)
+    found = np.concatenate([scorer.features(texts[a : a + 200]) for a in range(0, len(texts), 200)])
     model.centre, model.scale = found.mean(0), found.std(0) + 1e-9
     share = y.mean()
     real = prevalence if prevalence else share
@@ -291,7 +292,7 @@ def held_out(key: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def trained(docs: DataFrame, labels: DataFrame, most: int = 2000, landmarks: int = 64) -> Model:
+def trained(docs: DataFrame, labels: DataFrame, most: int = 1200, landmarks: int = 64) -> Model:
     """Fit on a bounded sample: the ``most`` toxic and twice as many clean labelled rows, first by a hash of doc_id.
 
     Rows whose crc32(doc_id as text) mod 4 is 2 are never learnt from, nor rows with a null label or id.
@@ -324,7 +325,7 @@ def scored(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     return docs.mapInArrow(run, out).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, most: int = 2000) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, most: int = 1200) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of ``docs``; see ``trained`` and ``scored``.
 
     An empty table of labels, or one with a single class, gives every text the share of toxic labels. A null doc_id is
@@ -335,7 +336,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, most: int = 2000) -> DataFrame:
     return out.select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
-def kept(docs: DataFrame, labels: DataFrame, most: int = 2000, threshold: float = 0.3) -> DataFrame:
+def kept(docs: DataFrame, labels: DataFrame, most: int = 1200, threshold: float = 0.3) -> DataFrame:
     """The documents that are not predicted toxic, with all their columns."""
     columns = docs.columns
     names = [f"c{i}" if c != "text" else "text" for i, c in enumerate(columns)]
