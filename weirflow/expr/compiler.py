@@ -419,8 +419,10 @@ class Program:
         if op in ("/", "//", "%"):
             zero = b == 0
             bad = zero if missing is None else zero | missing
+            if y.constant and y.literal and missing is None:
+                bad = None
             col = {"/": F.try_divide(a.cast("double"), b.cast("double")), "//": F.floor(F.try_divide(a.cast("double"), b.cast("double"))).cast("bigint"), "%": F.try_mod(a, b)}[op]
-            return Value(col, LongType() if op == "//" else kind), parts, F.coalesce(bad, F.lit(False)), f"{op} by zero"
+            return Value(col, LongType() if op == "//" else kind), parts, None if bad is None else F.coalesce(bad, F.lit(False)), f"{op} by zero"
         col = {"+": F.try_add, "-": F.try_subtract, "*": F.try_multiply}[op](a, b)
         return Value(col.cast(kind), kind), parts, missing, f"{op} of values that are no numbers"
 
@@ -508,7 +510,9 @@ class Program:
         except (KeyError, ValueError) as e:
             raise CompileError(f"{node.name}: {e}") from e
         out = self.typed(col)
-        if f.fallible:
+        # every plain value has a text
+        sure = node.name == "to_string" and args["value"].kind not in ("array", "object", "variant")
+        if f.fallible and not sure:
             error = out.col.isNull() if error is None else error | out.col.isNull()
         if node.name in ("assert", "assert_eq"):
             message = args.get("message") or message

@@ -54,12 +54,11 @@ def to_histogram(metrics: DataFrame, bounds: Sequence[float] = DEFAULT_BUCKETS)
     """Distributions as histograms: a sample counts in the first bucket whose bound is not below it; beyond the last, only in count and sum."""
     s = F.col("value.samples")
     total = lambda f, kind: F.aggregate(s, F.lit(0).cast(kind), f)
-    buckets, low = [], None
-    for b in bounds:
-        inside = (lambda x, b=b, low=low: (x["value"] <= b) & (F.lit(True) if low is None else x["value"] > low))
-        n = F.aggregate(F.filter(s, inside), F.lit(0).cast("bigint"), lambda a, x: a + x["rate"])
+    between = lambda low, high: lambda x: (x["value"] <= high) & (F.lit(True) if low is None else x["value"] > low)
+    buckets = []
+    for low, b in zip((None, *bounds), bounds):
+        n = F.aggregate(F.filter(s, between(low, b)), F.lit(0).cast("bigint"), lambda a, x: a + x["rate"])
         buckets.append(F.struct(F.lit(float(b)).alias("upper_limit"), n.alias("count")))
-        low = b
     v = F.col("value").withField("type", F.lit("histogram")).withField("buckets", F.array(*buckets).cast(BUCKETS)).withField("count", total(lambda a, x: a + x["rate"], "bigint")).withField("sum", total(lambda a, x: a + x["value"] * x["rate"], "double")).withField("samples", F.lit(None).cast("array<struct<value:double,rate:bigint>>")).withField("statistic", F.lit(None).cast("string"))
     return metrics.withColumn("value", F.when(F.col("value.type") == "distribution", v).otherwise(F.col("value")))
 

@@ -41,6 +41,8 @@ class _Tree:
             elif m["value"] is not None:
                 field = re.sub(r"\\(.)", r"\1", m["term"]) if m["colon"] else ""
                 quoted = m["value"].startswith('"')
+                if not quoted and not m["colon"] and m["value"].endswith(":"):
+                    raise ValueError(f"{m['value']} has no value")
                 self.items.append(Term(field, m["value"][1:-1] if quoted else m["value"], quoted))
         self.at = 0
 

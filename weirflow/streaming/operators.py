@@ -15,6 +15,15 @@ from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 from ..operators.state import _Bucket
 
 
+#: State of our own is kept in this store: on disk, with only changes written at a checkpoint.
+STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def _stored(df: DataFrame) -> DataFrame:
+    df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
+    return df
+
+
 def aggregated(metrics: DataFrame, interval_ms: int, keys: Sequence[str] = ("name",), mode: str = "sum", lateness: str = "10 seconds", time_col: str = "ts") -> DataFrame:
     """window_start, keys and value of each tumbling window: sum, count, max, min, mean or stdev of counters and gauges."""
     f = {"sum": F.sum, "auto": F.sum, "max": F.max, "min": F.min, "mean": F.avg, "stdev": F.stddev_pop, "count": F.count}[mode]
@@ -58,7 +67,7 @@ class _Throttle(StatefulProcessor):
 
 
 def throttled(df: DataFrame, keys: Sequence[str], threshold: int, window_s: float, time_col: str = "ts") -> DataFrame:
-    return df.groupBy(*keys).transformWithStateInPandas(_Throttle(threshold, window_s, df.columns, time_col), df.schema, "append", "ProcessingTime")
+    return _stored(df).groupBy(*keys).transformWithStateInPandas(_Throttle(threshold, window_s, df.columns, time_col), df.schema, "append", "ProcessingTime")
 
 
 class _Reduce(StatefulProcessor):
@@ -116,7 +125,7 @@ def reduced(df: DataFrame, keys: Sequence[str], numbers: Sequence[str], others:
     kinds = {f.name: f.dataType for f in df.schema.fields}
     state = ", ".join([*[f"n{i} double" for i in range(len(numbers))], *[f"o{i} {kinds[o].simpleString()}" for i, o in enumerate(others)], "events bigint", "last bigint"])
     out = StructType([*[StructField(k, kinds[k]) for k in keys], *[StructField(n, _parse_datatype_string("double")) for n in numbers], *[StructField(o, kinds[o]) for o in others], StructField("events", _parse_datatype_string("bigint"))])
-    rows = df.withColumn("_ends", condition(df, ends_when)).withWatermark(time_col, lateness)
+    rows = _stored(df).withColumn("_ends", condition(df, ends_when)).withWatermark(time_col, lateness)
     return rows.groupBy(*keys).transformWithStateInPandas(_Reduce(list(numbers), list(others), "_ends", expire_after_ms, state, time_col, list(keys)), out, "append", "EventTime")
 
 
