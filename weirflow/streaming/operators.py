@@ -125,8 +125,8 @@ def reduced(df: DataFrame, keys: Sequence[str], numbers: Sequence[str], others:
     kinds = {f.name: f.dataType for f in df.schema.fields}
     state = ", ".join([*[f"n{i} double" for i in range(len(numbers))], *[f"o{i} {kinds[o].simpleString()}" for i, o in enumerate(others)], "events bigint", "last bigint"])
     out = StructType([*[StructField(k, kinds[k]) for k in keys], *[StructField(n, _parse_datatype_string("double")) for n in numbers], *[StructField(o, kinds[o]) for o in others], StructField("events", _parse_datatype_string("bigint"))])
-    rows = _stored(df).withColumn("_ends", condition(df, ends_when)).withWatermark(time_col, lateness)
-    return rows.groupBy(*keys).transformWithStateInPandas(_Reduce(list(numbers), list(others), "_ends", expire_after_ms, state, time_col, list(keys)), out, "append", "EventTime")
+    rows = _stored(df).withColumn("ends_here", condition(df, ends_when)).withWatermark(time_col, lateness)
+    return rows.groupBy(*keys).transformWithStateInPandas(_Reduce(list(numbers), list(others), "ends_here", expire_after_ms, state, time_col, list(keys)), out, "append", "EventTime")
 
 
 def written(df: DataFrame, path: str, checkpoint: str, format: str = "parquet", mode: str = "append"):
