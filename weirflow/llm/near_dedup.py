@@ -123,9 +123,12 @@ def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
             for p, q in runs(batch["text"].tolist()):
                 part = batch.iloc[p:q]
                 doc, element, times = shingles(part["text"].tolist())
-                cuts = np.searchsorted(doc, np.arange(len(part) + 1))
-                # the upper half of each hash keeps the order
+                # the upper 32 bits of each hash keep the order; shingles of a text that agree in them are one
                 low = (element >> np.uint64(16)).astype("<u4")
+                first = np.flatnonzero((np.diff(doc, prepend=-1) != 0) | (np.diff(low.astype(np.int64), prepend=-1) != 0))
+                times = np.add.reduceat(times, first) if len(first) else times
+                doc, low = doc[first], low[first]
+                cuts = np.searchsorted(doc, np.arange(len(part) + 1))
                 rows = [(low[a:b].tobytes(), times[a:b].astype("<u4").tobytes() if (times[a:b] > 1).any() else b"") for a, b in zip(cuts, cuts[1:])]
                 yield pd.DataFrame({"id": part["doc_id"].to_numpy(), "hashes": [r[0] for r in rows], "times": [r[1] for r in rows]})
 
