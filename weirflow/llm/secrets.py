@@ -25,7 +25,6 @@ ENCODINGS = (
     ("base64", r"^[A-Za-z0-9+/]+$", UPPER + LOWER + DIGITS + "+/"),
     ("base64url", r"^[A-Za-z0-9_-]+$", UPPER + LOWER + DIGITS + "-_"),
 )
-MIXED = r"[0-9].*[A-Za-z]|[A-Za-z].*[0-9]"
 CLASSES, P_BINS = 8, 256
 SPAN = "array<struct<s:bigint,e:bigint,v:string>>"
 
@@ -55,8 +54,10 @@ def _tested(token: Column) -> Column:
     """
     v = F.rtrim(token, F.lit("="))
     name, alphabet = F.lit(None).cast("int"), F.lit(None).cast("string")
+    # two searches: one pattern for both would try every pair of places in a long run of letters
+    mixed = v.rlike("[0-9]") & v.rlike("[A-Za-z]")
     for i, (_, rx, letters) in reversed(list(enumerate(ENCODINGS))):
-        fits = v.rlike(rx) & v.rlike(MIXED)
+        fits = v.rlike(rx) & mixed
         name, alphabet = F.when(fits, i).otherwise(name), F.when(fits, letters).otherwise(alphabet)
     return F.transform(F.array(F.struct(v.alias("v"), name.alias("name"), alphabet.alias("alphabet"))), _battery)[0]
 
@@ -182,7 +183,9 @@ def redacted(docs: DataFrame, rate: float = 0.05, mark: str = "[SECRET]") -> Dat
     """``docs`` with every span replaced by ``mark``, and n_chars set anew where the text changed. No row is dropped."""
     columns = docs.columns
     cut = dismissal(scanned(docs.select("text")).select("cand"), rate)
-    out = with_spans(scanned(docs), cut)
+    # numbers for names, so that no column of the documents clashes with one made here
+    named = [c if c == "text" else f"d{i}" for i, c in enumerate(columns)]
+    out = with_spans(scanned(docs.toDF(*named)), cut)
     text = F.col("text")
     zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
 
@@ -194,7 +197,8 @@ def redacted(docs: DataFrame, rate: float = 0.05, mark: str = "[SECRET]") -> Dat
     last = lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, (acc["at"] + 1).cast("int"), F.lit(2**31 - 1)))
     clean = F.when(F.size("all") > 0, F.aggregate("all", zero, step, last)).otherwise(text)
     out = out.withColumn("_clean", clean)
-    named = {"text": F.col("_clean").alias("text")}
+    made = {"text": F.col("_clean")}
     if "n_chars" in columns:
-        named["n_chars"] = F.when(F.size("all") > 0, F.length("_clean").cast("long")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType).alias("n_chars")
-    return out.select(*[named.get(c, F.col(c)) for c in columns])
+        old = F.col(named[columns.index("n_chars")])
+        made["n_chars"] = F.when(F.size("all") > 0, F.length("_clean").cast("long")).otherwise(old).cast(docs.schema["n_chars"].dataType)
+    return out.select(*[made.get(c, F.col(n)).alias(c) for c, n in zip(columns, named)])
