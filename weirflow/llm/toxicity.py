@@ -217,18 +217,25 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1
     return w
 
 
+def _support(texts: list[np.ndarray], words: int) -> np.ndarray:
+    """In how many texts each word is, but no more than the different words that it follows: copies of a text count once."""
+    within = np.bincount(np.concatenate([np.unique(t) for t in texts]), minlength=words)
+    pairs = np.unique(np.concatenate([t * (words + 1) + np.concatenate([[words], t[:-1]])[: len(t)] for t in texts]))
+    return np.minimum(within, np.bincount(pairs // (words + 1), minlength=words))
+
+
 def _landmarks(words: list[str], toxic: np.ndarray, clean: np.ndarray, texts: tuple[int, int], most: int) -> tuple[list[str], int]:
     """Words that tell toxic texts, then frequent words; none too like one before it. And how many of the first kind.
 
-    toxic and clean: in how many texts of each kind a word is. A word tells if its toxic share is less likely by chance than
-    one in the number of words tried.
+    toxic and clean: in how many texts of each kind a word is. A word tells if most of its texts are toxic and its toxic share
+    is less likely by chance than one in the number of words tried.
     """
     share = (texts[0] + 1) / (sum(texts) + 2)
     usual = np.array([4 <= len(w) <= WINDOW for w in words])
     with np.errstate(divide="ignore", invalid="ignore"):
         rate = toxic / (toxic + clean)
         surprise = np.nan_to_num(toxic * np.log(rate / share)) + np.nan_to_num(clean * np.log(np.maximum(1 - rate, 1e-12) / (1 - share)))
-    telling = usual & (rate > share) & (surprise > np.log(1 + (toxic > 0).sum()))
+    telling = usual & (rate > max(share, 0.5)) & (surprise > np.log(1 + (toxic > 0).sum()))
     chosen: list[str] = []
 
     def extend(order: list[int], upto: int) -> None:
@@ -255,9 +262,10 @@ def fit(texts: list[str | None], labels: list[int], prevalence: float | None = N
     if not 0 < y.sum() < len(y):
         return constant
     place: dict[str, int] = {}
-    held = [np.unique(np.fromiter((place.setdefault(folded(w), len(place)) for w in units(t)), np.int64)) for t in texts]
+    order = [np.fromiter((place.setdefault(folded(w), len(place)) for w in units(t)), np.int64) for t in texts]
     vocabulary = list(place)
-    toxic, clean = (np.bincount(np.concatenate([h for h, v in zip(held, y) if v == label]), minlength=len(place)) for label in (1, 0))
+    toxic, clean = (_support([o for o, v in zip(order, y) if v == label], len(place)) for label in (1, 0))
+    del order
     chosen, told = _landmarks(vocabulary, toxic, clean, (int(y.sum()), int((1 - y).sum())), landmarks)
     if not told:
         return constant
@@ -271,13 +279,16 @@ def fit(texts: list[str | None], labels: list[int], prevalence: float | None = N
     del similar
     only = (toxic > 0) & (clean == 0)
     positive = only & (tells >= 0.79**POWER)
-    beta, bias = np.zeros(x.shape[1]), 0.0
-    for _ in range(2):
+    beta, bias, hard = np.zeros(x.shape[1]), 0.0, np.zeros(len(vocabulary), bool)
+    for _ in range(4):
         use = positive | (clean > 0)
-        weight = np.where(positive[use], 0.5 / max(1, positive.sum()), 0.5 / max(1, (clean > 0).sum())) * 1000
-        beta, bias = _svm(x[use], np.where(positive[use], 1.0, -1.0), weight)
+        share = lambda which: 500 / max(1, which.sum())
+        # words of clean texts that the machine took for toxic weigh as much together as all others
+        weight = np.where(positive, share(positive), share(clean > 0)) + np.where(hard, share(hard), 0)
+        beta, bias = _svm(x[use], np.where(positive[use], 1.0, -1.0), weight[use])
+        value = x @ beta + bias
         # the machine's own choice among what toxic texts alone hold, near enough to a telling landmark
-        positive = only & (x @ beta + bias > 0) & (tells >= 0.58**POWER)
+        positive, hard = only & (value > 0) & (tells >= 0.58**POWER), hard | ((clean > 0) & (value > 0))
     model = Model(chosen, root @ beta, bias, np.zeros(4), np.zeros(3), np.ones(3))
     scorer = Scorer(model, 100_000)
     found = np.concatenate([scorer.features(texts[a : a + 200]) for a in range(0, len(texts), 200)])
