@@ -169,11 +169,20 @@ def aggregate_auto(spark, d):
     return plain(agg.aggregate(counters(spark, d), 3_600_000, "auto", ORDER))
 
 
+def _summed(spark: SparkSession, d: str, passed: DataFrame) -> DataFrame:
+    """Daily sums of all counters, and gauges that the mode passes on."""
+    both = counters(spark, d).unionByName(passed.withColumn("name", F.lit("pass")))
+    return plain(agg.aggregate(both, 86_400_000, "sum", ORDER))
+
+
 @query("select time_bucket(interval 1 day, ts) as window_start, event_type as name, round(sum(value), 6) as value from events group by time_bucket(interval 1 day, ts), event_type, user_id union all select null, 'pass', value from events where event_id % 2 = 0")
 def aggregate_sum(spark, d):
-    c = counters(spark, d)
-    g = gauges(spark, d).filter("event_id % 2 = 0").withColumn("name", F.lit("pass"))
-    return plain(agg.aggregate(c.unionByName(g), 86_400_000, "sum", ORDER))
+    return _summed(spark, d, gauges(spark, d).filter("event_id % 2 = 0"))
+
+
+@query("select time_bucket(interval 1 day, ts) as window_start, event_type as name, round(sum(value), 6) as value from events group by time_bucket(interval 1 day, ts), event_type, user_id union all select null, 'pass', value from events")
+def aggregate_sum_whole(spark, d):
+    return _summed(spark, d, gauges(spark, d))
 
 
 @query(_by_hour("arg_max(value, (ts, event_id))"))
@@ -440,10 +449,20 @@ def enrich_member(spark, d):
     return enrich.is_member(events(spark, d), members, ["user_id"]).select("event_id")
 
 
+def _priced(spark: SparkSession, d: str, orders: DataFrame) -> DataFrame:
+    """Orders with the parts whose range holds their price."""
+    p = table(spark, d, "part").select("p_partkey", (F.col("p_retailprice") * 100).alias("low"), (F.col("p_retailprice") * 100 + 20).alias("high"))
+    return enrich.range_join(orders, p, "low", "high", F.col("o_totalprice"), 64, "inner").select("o_orderkey", "p_partkey")
+
+
 @query("select o_orderkey, p_partkey from orders join part on o_totalprice between p_retailprice * 100 and p_retailprice * 100 + 20 where o_orderkey % 10 = 0")
 def enrich_range(spark, d):
-    p = table(spark, d, "part").select("p_partkey", (F.col("p_retailprice") * 100).alias("low"), (F.col("p_retailprice") * 100 + 20).alias("high"))
-    return enrich.range_join(table(spark, d, "orders").filter("o_orderkey % 10 = 0"), p, "low", "high", F.col("o_totalprice"), 64, "inner").select("o_orderkey", "p_partkey")
+    return _priced(spark, d, table(spark, d, "orders").filter("o_orderkey % 10 = 0"))
+
+
+@query("select o_orderkey, p_partkey from orders join part on o_totalprice between p_retailprice * 100 and p_retailprice * 100 + 20")
+def enrich_range_whole(spark, d):
+    return _priced(spark, d, table(spark, d, "orders"))
 
 
 # ---- statistics and texts ----
