@@ -1,5 +1,7 @@
 """Queries over whole tables and texts, against brute force in plain Python."""
 
+import hashlib
+
 from weirflow.plans import queries as catalogue
 
 
@@ -15,3 +17,11 @@ def test_every_gauge_passes_the_sum(spark, data):
     want = sorted(round(r.value, 6) for r in catalogue.events(spark, data).collect())
     got = catalogue.QUERIES["aggregate_sum_whole"](spark, data).filter("name = 'pass'").collect()
     assert sorted(r.value for r in got) == want
+
+
+def test_array_functions_see_whole_texts(spark, data):
+    texts = {r.doc_id: [w for w in r.text.split(" ") if w] for r in catalogue.table(spark, data, "documents").collect() if r.text is not None}
+    md5 = lambda words: hashlib.md5(" ".join(words).encode()).hexdigest()
+    want = {i: (len(ws), "the" in ws, md5(ws[:-1]), md5([*ws, "end"]), len(set(ws))) for i, ws in texts.items()}
+    got = {r.doc_id: (r.n, r.has, r.popped, r.pushed, r.kinds) for r in catalogue.QUERIES["fn_array_whole"](spark, data).collect()}
+    assert got == want and max(n for n, *_ in want.values()) > 1000
