@@ -2,6 +2,9 @@
 
 import hashlib
 
+import numpy as np
+
+from weirflow.llm import embedding_dedup
 from weirflow.plans import queries as catalogue
 
 
@@ -25,3 +28,20 @@ def test_array_functions_see_whole_texts(spark, data):
     want = {i: (len(ws), "the" in ws, md5(ws[:-1]), md5([*ws, "end"]), len(set(ws))) for i, ws in texts.items()}
     got = {r.doc_id: (r.n, r.has, r.popped, r.pushed, r.kinds) for r in catalogue.QUERIES["fn_array_whole"](spark, data).collect()}
     assert got == want and max(n for n, *_ in want.values()) > 1000
+
+
+def test_no_link_of_a_dense_cone_is_lost(spark):
+    rng = np.random.default_rng(3)
+    axis = np.eye(64)[0]
+    side = lambda n: (v := rng.normal(size=(n, 64)) * (1 - axis)) / np.linalg.norm(v, axis=1)[:, None]
+    cone = np.sqrt(0.85) * axis + np.sqrt(0.15) * side(6000)
+    near = 0.955 * cone[:300] + (w := (v := rng.normal(size=(300, 64))) - (v * cone[:300]).sum(1)[:, None] * cone[:300]) / np.linalg.norm(w, axis=1)[:, None] * np.sqrt(1 - 0.955**2)
+    x = np.concatenate([cone, near]).astype(np.float32)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    links = unit @ unit.T >= 0.95
+    np.fill_diagonal(links, False)
+    assert links[np.arange(300), np.arange(6000, 6300)].all()
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.linked(rows).collect()}
+    assert [got[i][0] for i in range(len(x))] == links.sum(1).tolist()
+    assert all(got[i][1] == got[i + 6000][1] for i in range(300))

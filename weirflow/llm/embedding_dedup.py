@@ -1,4 +1,4 @@
-"""Near-duplicate embeddings by sorted projection passes."""
+"""Near-duplicate embeddings by a sorted projection and exact comparison of blocks."""
 
 from __future__ import annotations
 
@@ -8,92 +8,161 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .common import as_matrix, components, forest, numbered, sound, staged, usable
+from .common import as_matrix, components, numbered, sound, staged, usable
 
 BITS = 64
+#: Rows that are bounded and multiplied together; columns of one product; numbers in a block; parts of a cross product's side.
+CHUNK, WIDE, NUMBERS, PARTS = 512, 4096, 1 << 20, 256
 
 
-def _coded(rows: DataFrame, passes: int, seed: int) -> DataFrame:
-    """A row for each pass: the signs of 64 random projections, concatenated to one number that sorts lexicographically."""
+def _coded(classes: DataFrame, seed: int) -> DataFrame:
+    """The signs of 64 random projections, concatenated to one number that sorts lexicographically."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for dim, part in batch.groupby(batch["embedding"].map(len)):
-                x = as_matrix(part["embedding"])
-                for p in range(passes):
-                    signs = x @ np.random.default_rng([seed, p, dim]).normal(size=(dim, BITS)) > 0
-                    code = np.packbits(signs, axis=1).view(">u8").ravel().astype(np.uint64) ^ np.uint64(1 << 63)
-                    yield pd.DataFrame({"dim": dim, "pass": p, "code": code.view(np.int64), "rep": part["rep"].to_numpy(), "embedding": part["embedding"].to_numpy()})
+                signs = as_matrix(part["embedding"]) @ np.random.default_rng([seed, dim]).normal(size=(dim, BITS)) > 0
+                code = np.packbits(signs, axis=1).view(">u8").ravel().astype(np.uint64) ^ np.uint64(1 << 63)
+                yield part.assign(dim=dim, code=code.view(np.int64))
 
-    return rows.select("rep", "embedding").mapInPandas(run, f"dim int, pass int, code long, rep long, embedding {rows.schema['embedding'].dataType.simpleString()}")
+    kind = classes.schema["embedding"].dataType.simpleString()
+    return classes.select("rep", "copies", "embedding").mapInPandas(run, f"rep long, copies long, embedding {kind}, dim int, code long")
 
 
-def _windows(window: int, block: int, least: float):
-    """Links between own rows of a block and the ``window`` rows that follow each; of those only a spanning forest."""
+def _packed(kind: str):
+    """A block as one row: its classes, their copies and their vectors as bytes."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("_row")
-        here = int(group["block"].iloc[0])
-        a, b = [], []
-        for _, part in group.groupby(["dim", "pass"]):
-            x, rep, row = as_matrix(part["embedding"]), part["rep"].to_numpy(), part["_row"].to_numpy()
-            x /= np.sqrt((x * x).sum(1))[:, None]
-            own = row // block == here
-            for o in range(1, min(window, len(x) - 1) + 1):
-                hit = np.flatnonzero(((x[:-o] * x[o:]).sum(1) >= least) & own[:-o])
-                a.append(rep[hit])
-                b.append(rep[hit + o])
-        a, b = np.concatenate([*a, np.zeros(0, np.int64)]), np.concatenate([*b, np.zeros(0, np.int64)])
-        kept = forest(a, b)
-        return pd.DataFrame({"a": a[kept], "b": b[kept]})
+        x = as_matrix(group["embedding"]).astype(kind)
+        return pd.DataFrame({"dim": [int(group["dim"].iloc[0])], "block": [int(group["block"].iloc[0])], "rep": [group["rep"].to_numpy("<i8").tobytes()], "copies": [group["copies"].to_numpy("<i8").tobytes()], "x": [x.tobytes()]})
 
     return run
 
 
-def _counted(least: float):
-    """Of a block against a block of one component: how many vectors each class links with, and none of the pairs."""
+def _bounds(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each chunk: a direction, and the largest angle of its rows with it."""
+    centres, widths = [], []
+    for a in range(0, len(x), CHUNK):
+        part = x[a : a + CHUNK]
+        c = part.sum(0)
+        c = c / n if (n := np.sqrt(c @ c)) > 1e-9 else part[0]
+        centres.append(c)
+        widths.append(np.arccos(np.clip((part @ c).min(), -1, 1)))
+    return np.array(centres), np.array(widths)
+
+
+def _span(parent: np.ndarray, i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
+    """Which of the links i-j join what was apart; ``parent`` has the root of every place, before and after."""
+    kept = []
+    while True:
+        a, b = parent[i], parent[j]
+        apart = a != b
+        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+        if not len(i):
+            return kept
+        for k in np.union1d(np.unique(a, return_index=True)[1], np.unique(b, return_index=True)[1]).tolist():
+            x, y = int(a[k]), int(b[k])
+            while parent[x] != x:
+                x = int(parent[x])
+            while parent[y] != y:
+                y = int(parent[y])
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+                kept.append((int(i[k]), int(j[k])))
+        while ((up := parent[parent]) != parent).any():
+            parent[:] = up
+
+
+def _compare(x: np.ndarray, y: np.ndarray, more: np.ndarray, less: np.ndarray, same: bool, least: float) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
+    """All rows of x with all of y: how many rows each links with, of copies ``more`` and ``less``, and a spanning forest of the links.
+
+    Products are single, within a bound of their error; what lies that near to ``least`` is done again in double. Chunks whose
+    angles rule a link out are left out.
+    """
+    dim = x.shape[1]
+    slack = (dim + 8) * 2.0**-23
+    x4, y4 = x.astype(np.float32), y.astype(np.float32)
+    (cx, wx), (cy, wy) = _bounds(x), _bounds(y)
+    far = np.arccos(np.clip(cx @ cy.T, -1, 1)) - wx[:, None] - wy[None, :] > np.arccos(min(1.0, least)) + 1e-6
+    left, right = np.zeros(len(x), np.int64), np.zeros(len(y), np.int64)
+    parent = np.arange(len(x) + (0 if same else len(y)))
+    kept = []
+    for at, a in enumerate(range(0, len(x), CHUNK)):
+        near = np.flatnonzero(~np.repeat(far[at], CHUNK)[: len(y)])
+        for b in range(0, len(near), WIDE):
+            columns = near[b : b + WIDE]
+            s = x4[a : a + CHUNK] @ y4[columns].T
+            i, j = np.nonzero(s >= least - slack)
+            value = s[i, j]
+            i, j = i + a, columns[j]
+            good = value >= least + slack
+            close = np.flatnonzero(~good)
+            for c in range(0, len(close), 100_000):
+                k = close[c : c + 100_000]
+                good[k] = (x[i[k]] * y[j[k]]).sum(1) >= least
+            if same:
+                good &= i != j
+            i, j = i[good], j[good]
+            np.add.at(left, i, less[j])
+            if not same:
+                np.add.at(right, j, more[i])
+            kept += _span(parent, i, j if same else j + len(x))
+    return left, right, kept
+
+
+def _links(least: float, kind: str):
+    """Of each pair of blocks: links of each class (b is null), and links a-b that join components."""
+
+    def unpacked(row: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        dim, rep, copies, x = row
+        x = np.frombuffer(x, kind).reshape(-1, dim).astype(np.float64)
+        x = x / np.abs(x).max(1)[:, None]
+        return np.frombuffer(rep, "<i8"), np.frombuffer(copies, "<i8"), x / np.sqrt((x * x).sum(1))[:, None]
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for _, part in group.groupby(["dim", "root"]):
-            x, rep, copies, side = as_matrix(part["embedding"]), part["rep"].to_numpy(), part["copies"].to_numpy(), part["side"].to_numpy()
-            x /= np.sqrt((x * x).sum(1))[:, None]
-            left, right = np.flatnonzero(side != 2), np.flatnonzero(side != 1)
-            links = (x[left] @ x[right].T) >= least
-            if (side == 0).all():
-                np.fill_diagonal(links, False)
-                out.append((rep, links @ copies))
-            else:
-                out += [(rep[left], links @ copies[right]), (rep[right], links.T @ copies[left])]
-        return pd.DataFrame({"rep": np.concatenate([r for r, _ in out]), "links": np.concatenate([n for _, n in out]).astype(np.int64)})
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for r in batch.itertuples(index=False):
+                rep, copies, x = unpacked((r.dim, r.rep, r.copies, r.x))
+                same = r.block == r.block2
+                rep2, copies2, y = (rep, copies, x) if same else unpacked((r.dim, r.rep2, r.copies2, r.x2))
+                left, right, kept = _compare(x, y, copies, copies2, same, least)
+                ids, links = (rep, left) if same else (np.concatenate([rep, rep2]), np.concatenate([left, right]))
+                some = np.flatnonzero(links)
+                names = rep if same else ids
+                a, b = np.array(kept, np.int64).reshape(-1, 2).T
+                yield pd.DataFrame({"a": np.concatenate([ids[some], names[a]]), "b": pd.array([*[None] * len(some), *names[b].tolist()], "Int64"), "links": np.concatenate([links[some], np.zeros(len(a), np.int64)])})
 
     return run
 
 
-def linked(vectors: DataFrame, least: float = 0.95, passes: int = 24, window: int = 48, seed: int = 6, block: int = 2048, tile: int = 512) -> DataFrame:
+def linked(vectors: DataFrame, least: float = 0.95, seed: int = 6) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row.
 
-    Equal vectors are one class. In each pass the classes are put in the order of their codes and each is compared with
-    the ``window`` next by exact cosine; the links of all passes are joined to components. Dense groups hold more links than
-    windows reach, so links are then counted exactly inside each component, tile by tile, without making the
-    pairs. Rows whose vector is null, zero or not finite link with nothing: no links, a component of their own, kept.
-    So do null ids, whose component is null. Vectors link only with those of their own length. Repeated ids are rows
-    of their own; an empty table gives an empty result.
+    Equal vectors are one class. The classes are put in the order of a code of random projections and cut to blocks, and every
+    block is compared with every other by exact cosine, so no link is lost; the work grows with the square of the classes, but
+    for chunks so far apart in angle that they can't link. Links are counted where they are found, and only a spanning forest of them leaves
+    a pair of blocks. Blocks meet in a cross product of what was staged, without a shuffle. Rows whose vector is null, zero or not
+    finite link with nothing: no links, a component of their own, kept. So do null ids, whose component is null. Vectors link
+    only with those of their own length. Repeated ids are rows of their own; an empty table gives an empty result.
     """
     rows = usable(vectors).withColumns({"h": F.xxhash64("embedding"), "g": F.xxhash64(F.lit(1), "embedding")})
     classes = staged(rows.groupBy("h", "g").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("embedding").alias("embedding")))
-    placed = numbered(_coded(classes, passes, seed), "dim", "pass", "code", "rep")
-    at = F.expr(f"_row div {block}")
-    halo = F.when((F.col("_row") % block < window) & (at > 0), F.array(at, at - 1)).otherwise(F.array(at))
-    edges = placed.withColumn("block", F.explode(halo)).groupBy("block").applyInPandas(_windows(window, block, least), "a long, b long")
-    roots = staged(components(edges))
-    grouped = staged(classes.join(roots, classes["rep"] == roots["node"]).select("root", "rep", "copies", "embedding", F.size("embedding").alias("dim")))
-    sizes = staged(grouped.groupBy("root").agg(F.ceil(F.count("*") / tile).cast("int").alias("n")))
-    # a component of one tile shares a group with others; a larger one has a group for each pair of tiles
-    tiled = grouped.join(sizes, "root").withColumn("i", F.pmod(F.xxhash64("rep"), F.col("n")).cast("int"))
-    both = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda j: F.struct(F.least("i", j).alias("x"), F.greatest("i", j).alias("y"), F.when(j == F.col("i"), 0).when(F.col("i") < j, 1).otherwise(2).alias("side")))
-    tiled = tiled.withColumn("t", F.explode(both)).select("root", "rep", "copies", "embedding", "dim", "t.x", "t.y", "t.side", F.when(F.col("n") == 1, F.pmod(F.xxhash64("root"), F.lit(1024))).otherwise(F.col("root")).alias("home"), (F.col("n") == 1).alias("small"))
-    counts = staged(tiled.groupBy("small", "home", "x", "y").applyInPandas(_counted(least), "rep long, links long").groupBy("rep").agg(F.sum("links").alias("links")))
+    total = classes.count()
+    kind = "<f4" if "float" in classes.schema["embedding"].dataType.simpleString() else "<f8"
+    # about 16 blocks of a small table; of a large one, blocks as large as a task holds
+    length = F.greatest(F.lit(1), F.least(F.expr(f"{NUMBERS} div dim"), F.lit(max(CHUNK, -(-total // 16)))))
+    placed = numbered(_coded(classes, seed), "dim", "code", "rep").withColumn("block", F.expr("_row").cast("long")).withColumn("block", F.floor(F.col("block") / length))
+    shape = "dim int, block long, rep binary, copies binary, x binary"
+    blocks = staged(placed.select("dim", "block", "_row", "rep", "copies", "embedding").groupBy("dim", "block").applyInPandas(_packed(kind), shape))
+    parts = max(1, min(PARTS, blocks.count()))
+    one = blocks.repartition(parts, "dim", "block")
+    two = one.select(*[F.col(c).alias(f"{c}2") for c in one.columns])
+    # each pair in one of its two orders, so that the orders are spread evenly; no equality, which would deal all blocks of a length to one task
+    once = (F.col("dim") <= F.col("dim2")) & (F.col("dim") >= F.col("dim2")) & ((F.col("block") == F.col("block2")) | (((F.col("block") + F.col("block2")) % 2 == 1) == (F.col("block") < F.col("block2"))))
+    found = staged(one.crossJoin(two).filter(once).mapInPandas(_links(least, kind), "a long, b long, links long"))
+    roots = staged(components(found.filter("b is not null").select("a", "b")))
+    counts = staged(found.filter("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links")))
     known = classes.join(roots, classes["rep"] == roots["node"], "left").join(counts, "rep", "left")
     known = staged(known.select("h", "g", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "rep").alias("component_id")))
     linked = rows.select("vec_id", "h", "g").join(known, ["h", "g"]).select("vec_id", "n_links", "component_id")
