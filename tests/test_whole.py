@@ -45,3 +45,11 @@ def test_no_link_of_a_dense_cone_is_lost(spark):
     got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.linked(rows).collect()}
     assert [got[i][0] for i in range(len(x))] == links.sum(1).tolist()
     assert all(got[i][1] == got[i + 6000][1] for i in range(300))
+
+
+def test_lists_of_whole_turns_are_merged(spark, data):
+    turns = {}
+    for r in sorted(catalogue.table(spark, data, "conversations").collect(), key=lambda r: r.turn):
+        turns.setdefault(r.conv_id, []).append([w for w in r.text.split(" ") if w])
+    want = {i: (" ".join(sum(ls, [])), " ".join(max(ls, key=len)), " ".join(min(ls, key=len))) for i, ls in turns.items()}
+    assert {r.conv_id: (r.words, r.longest, r.shortest) for r in catalogue.QUERIES["reduce_lists_whole"](spark, data).collect()} == want

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..expr import remap
 from ..functions import call
@@ -380,16 +380,25 @@ def reduce_arrays(spark, d):
     return out.select("user_id", F.array_join("event_type", ",").alias("events"), F.array_join("props", ";").alias("props"), "ids")
 
 
-@query("""with a as (select *, [x for x in string_split(text, ' ') if x <> ''][1:3] as words, turn as t from conversations)
- select conv_id, array_to_string(flatten(list(words order by t)), ' ') as words, array_to_string(arg_min(words, (-len(words), t)), ' ') as longest, array_to_string(arg_min(words, (len(words), t)), ' ') as shortest from a group by conv_id""")
-def reduce_lists(spark, d):
-    c = table(spark, d, "conversations")
-    words = F.slice(F.filter(F.split("text", " "), lambda w: w != ""), 1, 3)
+def _lists(c: DataFrame, words: Column) -> DataFrame:
+    """Lists of words merged by turn: all together, the longest and the shortest."""
     rows = c.select("conv_id", "turn", words.alias("words"), words.alias("longest"), words.alias("shortest"), F.timestamp_seconds(F.col("turn")).alias("ts"))
     out = red.reduce(rows, ["conv_id"], ("turn",), merge_strategies={"words": "concat", "longest": "longest_array", "shortest": "shortest_array"}, expire_after_ms=None)
     return out.select("conv_id", *[F.array_join(c, " ").alias(c) for c in ("words", "longest", "shortest")])
 
 
+@query("""with a as (select *, [x for x in string_split(text, ' ') if x <> ''][1:3] as words, turn as t from conversations)
+ select conv_id, array_to_string(flatten(list(words order by t)), ' ') as words, array_to_string(arg_min(words, (-len(words), t)), ' ') as longest, array_to_string(arg_min(words, (len(words), t)), ' ') as shortest from a group by conv_id""")
+def reduce_lists(spark, d):
+    return _lists(table(spark, d, "conversations"), F.slice(F.filter(F.split("text", " "), lambda w: w != ""), 1, 3))
+
+
+@query("""with a as (select *, [x for x in string_split(text, ' ') if x <> ''] as words, turn as t from conversations)
+ select conv_id, array_to_string(flatten(list(words order by t)), ' ') as words, array_to_string(arg_min(words, (-len(words), t)), ' ') as longest, array_to_string(arg_min(words, (len(words), t)), ' ') as shortest from a group by conv_id""")
+def reduce_lists_whole(spark, d):
+    return _lists(table(spark, d, "conversations"), F.filter(F.split("text", " "), lambda w: w != ""))
+
+
 # ---- enrichment ----
 
 
