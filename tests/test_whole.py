@@ -4,7 +4,7 @@ import hashlib
 
 import numpy as np
 
-from weirflow.llm import embedding_dedup
+from weirflow.llm import embedding_dedup, toxicity
 from weirflow.plans import queries as catalogue
 
 
@@ -53,3 +53,18 @@ def test_lists_of_whole_turns_are_merged(spark, data):
         turns.setdefault(r.conv_id, []).append([w for w in r.text.split(" ") if w])
     want = {i: (" ".join(sum(ls, [])), " ".join(max(ls, key=len)), " ".join(min(ls, key=len))) for i, ls in turns.items()}
     assert {r.conv_id: (r.words, r.longest, r.shortest) for r in catalogue.QUERIES["reduce_lists_whole"](spark, data).collect()} == want
+
+
+def test_insults_with_one_and_with_all_gaps_filled_are_predicted(spark):
+    rng = np.random.default_rng(5)
+    words = ["".join(rng.choice(list("bcdfghklmnprstvw"), 3)[i // 2] if i % 2 == 0 else rng.choice(list("aeiou")) for i in range(6)) for _ in range(400)]
+    insults = ["idiot", "moron", "loser", "stupid", "worthless"]
+    clean = lambda: " ".join(rng.choice(words, 12))
+    texts = [clean() for _ in range(300)] + [f"{clean()} {insults[i % 5]} {clean()}" for i in range(150)]
+    model = toxicity.fit(texts, [0] * 300 + [1] * 150)
+    one = [f"{w[:2]}{s}{w[2:]}" for w in insults for s in "-.*"]
+    every = [s.join(w) for w in insults for s in "-.*"]
+    held = [(1, f"{clean()} {w} {clean()}") for w in insults + one + every] + [(0, clean()) for _ in range(50)] + [(0, f"{clean()} well-known e.g. {clean()}")]
+    rows = spark.createDataFrame([(i, y, t) for i, (y, t) in enumerate(held)], "doc_id long, y int, text string")
+    wrong = [r.text for r in toxicity.scored(rows, model).collect() if r.predicted != r.y]
+    assert not wrong

@@ -18,6 +18,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 FOLD = str.maketrans("0134578@$!", "oieastbasi")
 LETTERS, DECAY, POWER, WINDOW, STEP = 32, 0.7, 4, 14, 3
 EDGES = string.punctuation + "«»“”„‘’¿¡…–—·"
+SIGNS = "".join(c for c in EDGES if ord(c) not in FOLD)
 APART = re.compile(r"\s\S\s\S(?:\s|$)")
 SPACED = re.compile(r"(?<!\S)\S(?:\s\S){2,}(?!\S)")
 
@@ -28,6 +29,15 @@ def folded(word: str) -> str:
     return "^" + (word if word.isalpha() or word.isdigit() else word.translate(FOLD)) if word else ""
 
 
+def closed(word: str) -> list[str]:
+    """The word as it reads without the signs inside it, folded: once with symbols that stand for letters kept, once without them."""
+    inner = word.strip(EDGES)
+    if inner.isalnum():
+        return []
+    found = {folded("".join(c for c in inner if c not in signs)) for signs in (SIGNS, EDGES)}
+    return sorted(w for w in found - {folded(word)} if len(w) > 3)
+
+
 def _codes(words: list[str]) -> np.ndarray:
     """Letters of words of one length as numbers: a-z, the mark, and five more for all else."""
     point = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(words), -1)
@@ -151,10 +161,10 @@ class Scorer:
         self.value, self.last = np.zeros(0), np.zeros(0, bool)
 
     def _learn(self, words: list[str]) -> None:
-        short = [folded(w) for w in words]
-        fresh = sorted(set(short).difference(self.folded))
+        short = [[folded(w), *closed(w)] for w in words]
+        fresh = sorted({r for readings in short for r in readings}.difference(self.folded))
         self.folded.update(zip(fresh, (self.landmarks.kernel(fresh) @ self.model.gamma.astype(np.float32)).tolist()))
-        value = [self.folded[w] for w in short]
+        value = [max(self.folded[r] for r in readings) for readings in short]
         self.known.update(zip(words, range(len(self.value), len(self.value) + len(words))))
         self.value = np.concatenate([self.value, value])
         self.last = np.concatenate([self.last, [w[-1] in ".!?" for w in words]])
@@ -262,7 +272,8 @@ def fit(texts: list[str | None], labels: list[int], prevalence: float | None = N
     if not 0 < y.sum() < len(y):
         return constant
     place: dict[str, int] = {}
-    order = [np.fromiter((place.setdefault(folded(w), len(place)) for w in units(t)), np.int64) for t in texts]
+    read = lambda ws: [*map(folded, ws), *(r for w in ws for r in closed(w))]
+    order = [np.fromiter((place.setdefault(w, len(place)) for w in read(units(t))), np.int64) for t in texts]
     vocabulary = list(place)
     toxic, clean = (_support([o for o, v in zip(order, y) if v == label], len(place)) for label in (1, 0))
     del order
@@ -322,7 +333,7 @@ def scored(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     """``docs`` with score (0 to 1) and predicted (1 from ``threshold``); other columns pass through.
 
     Every whole text is scored: each sentence's decision is summed over its words, and the best sentences make the
-    document's score. A null or empty text has the score of a text without any word. Repeated rows score alike.
+    document's score. A word with signs inside is also read without them, and its best reading counts. A null or empty text has the score of a text without any word. Repeated rows score alike.
     """
     out = StructType([*docs.schema.fields, StructField("score", DoubleType())])
 
