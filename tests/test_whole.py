@@ -1,10 +1,12 @@
 """Queries over whole tables and texts, against brute force in plain Python."""
 
 import hashlib
+import zlib
 
 import numpy as np
 
-from weirflow.llm import embedding_dedup, toxicity
+from weirflow.llm import embedding_dedup, packing, toxicity
+from weirflow.llm.queries import tokenizer
 from weirflow.plans import queries as catalogue
 
 
@@ -68,3 +70,12 @@ def test_insults_with_one_and_with_all_gaps_filled_are_predicted(spark):
     rows = spark.createDataFrame([(i, y, t) for i, (y, t) in enumerate(held)], "doc_id long, y int, text string")
     wrong = [r.text for r in toxicity.scored(rows, model).collect() if r.predicted != r.y]
     assert not wrong
+
+
+def test_special_tokens_in_a_text_have_the_ids_of_tokenizers(spark):
+    from tokenizers import Tokenizer
+
+    texts = ["one <|endoftext|> two<|endoftext|>", "<|endoftext|>", "<|endoftext|", "plain words"]
+    want = [np.array([*Tokenizer.from_file(tokenizer()).encode(x, add_special_tokens=False).ids, 0], "<u4") for x in texts]
+    got = {r.doc_id: r for r in packing.packed(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), tokenizer()).collect()}
+    assert [(got[i].length, got[i].ids_crc32) for i in range(4)] == [(len(x), zlib.crc32(x.tobytes())) for x in want]

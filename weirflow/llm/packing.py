@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import numpy as np
 import pandas as pd
@@ -28,9 +28,9 @@ def encoder(path: str):
     of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(x for x in range(256) if x not in shown)}
     with open(path, encoding="utf-8") as file:
         model = json.load(file)
-    special = {t["content"] for t in model.get("added_tokens", [])}
+    special = {t["content"]: t["id"] for t in model.get("added_tokens", [])}
     ranks = {bytes(of[c] for c in token): i for token, i in model["model"]["vocab"].items() if token not in special}
-    return tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
@@ -107,7 +107,7 @@ def tokenized(docs: DataFrame, path: str, capacity: int = 2048, end: int = 0) ->
     """A row for each piece: doc_id, piece, start, length, ids_crc32, and its rank among the pieces of its length in its part."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = encoder(path).encode_ordinary
+        encode = partial(encoder(path).encode, allowed_special="all")
         part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for batch in batches:
             rows = []
@@ -129,7 +129,7 @@ def packed(docs: DataFrame, path: str, capacity: int = 2048, end: int = 0) -> Da
 
     A text is its ids and ``end``; one longer than ``capacity`` is cut, the first piece taking what is over. Null is an empty
     text: one piece of one id. Repeated rows are packed each; an empty table gives an empty result; other columns
-    are not read. Strings of special tokens are ordinary text. Only the histogram of lengths reaches the driver.
+    are not read. A string of a special token is its one id, as tokenizers has it. Only the histogram of lengths reaches the driver.
     """
     pieces = staged(tokenized(docs, path, capacity, end))
     parts = staged(pieces.groupBy("part", "length").count())
