@@ -37,8 +37,10 @@ def permuted(row: str, total: str, seed: int) -> Column:
     one = f"""aggregate(array({rounds}), named_struct('l', p div {b}, 'r', p % {b}),
         (s, k) -> if(k.odd, named_struct('l', s.l, 'r', (s.r + {f('s.l')}) % {b}), named_struct('l', (s.l + {f('s.r')}) % {a}, 'r', s.r)),
         s -> s.l * {b} + s.r)"""
+    # a walk meets no point twice before it is inside again, so the points outside bound it
     walk = f"aggregate(sequence(1, {WALK}), {row}, (p, i) -> if(i > 1 and p < {total}, p, {one}))"
-    return F.expr(f"transform(array({walk}), p -> if(p < {total}, p, cast(raise_error('cycle walk did not end') as bigint)))[0]")
+    rest = f"aggregate(sequence(0, {a} * {b} - {total}), p, (p, i) -> if(p < {total}, p, {one}))"
+    return F.expr(f"transform(array({walk}), p -> if(p < {total}, p, {rest}))[0]")
 
 
 def shard(docs: DataFrame, shards: int, seed: int = 9, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -46,15 +48,16 @@ def shard(docs: DataFrame, shards: int, seed: int = 9, text: str = "text", key:
 
     Rows are numbered in the order of key, crc and size; the permutation of the number gives shard (remainder) and
     slot (quotient), so counts differ by one at most, slots have no gap, and both follow from the number alone.
-    A null text counts as empty, size 16; null keys come first; equal rows get numbers in any order among themselves.
-    An empty table gives an empty result. Other columns are not read.
+    A null text counts as empty, size 16; null keys come first; equal rows get numbers in any order among themselves,
+    and any number of them is spread over several tasks. An empty table gives an empty result. Other columns are not read.
     """
     slim = docs.select(
         F.col(key).alias("doc_id"),
         (F.coalesce(F.octet_length(text), F.lit(0)) + 16).cast("long").alias("size"),
         F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("text_crc32"),
     )
-    rows = numbered(staged(slim), "doc_id", "text_crc32", "size")
+    # where a row was written sets equal rows apart, so that ranges can part them
+    rows = numbered(staged(slim.withColumn("_at", F.monotonically_increasing_id())).withColumnRenamed("_at", "_tie"), "doc_id", "text_crc32", "size", "_tie")
     placed = rows.withColumn("_p", permuted("_row", "_total", seed))
     return placed.select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"),
