@@ -237,6 +237,48 @@ def test_packing_plans_use_every_piece_once(seed):
     assert len(filled) <= math.ceil(sum(lengths) / 64) * 1.03 + 1
 
 
+def fewest(lengths, capacity):
+    """Bins of an optimal packing, by branch and bound."""
+    items, best = sorted(lengths, reverse=True), [len(lengths)]
+
+    def place(i, bins):
+        if len(bins) >= best[0]:
+            return
+        if i == len(items):
+            best[0] = len(bins)
+            return
+        for b in sorted({x for x in bins if x + items[i] <= capacity}):
+            rest = list(bins)
+            rest[rest.index(b)] += items[i]
+            place(i + 1, rest)
+        place(i + 1, [*bins, items[i]])
+
+    place(0, [])
+    return best[0]
+
+
+def test_packing_plans_are_near_the_optimum():
+    rng = np.random.default_rng(3)
+    extra = []
+    for _ in range(60):
+        lengths = rng.integers(1, 21, 9).tolist()
+        used = {s for r in packing.plan(dict(Counter(lengths)), 20) for s in range(r[4], r[4] + r[2])}
+        extra.append(len(used) - fewest(lengths, 20))
+    assert min(extra) >= 0 and max(extra) <= 1 and sum(extra) <= 6
+
+
+def test_op7_ids_are_those_of_tokenizers(spark):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(q.tokenizer())
+    texts = ["hello <|endoftext|> world", "<|endoftext|>", "<|endof text|>", "a" * 9000, " \n\t  x", "don't WE'LL", "\u0663\u3000\u200b\u00e9\U0001f600", "7" * 5000, "", None]
+    rows = packing.packed(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), q.tokenizer()).collect()
+    for i, text in enumerate(texts):
+        ids = np.array(t.encode(text or "", add_special_tokens=False).ids + [0], "<u4")
+        got = sorted((r.start, r.length, r.ids_crc32) for r in rows if r.doc_id == i)
+        assert sum(n for _, n, _ in got) == len(ids) and all(c == zlib.crc32(ids[s : s + n].tobytes()) for s, n, c in got)
+
+
 def test_op8_language_model(spark, data, docs):
     rows = {r.doc_id: r for r in q.op8_language_model(spark, data).collect()}
     lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -266,6 +308,21 @@ def test_op9_sharding(spark, data, docs):
     assert sorted(map(str, rows)) == sorted(map(str, q.op9_sharding(spark, data).collect()))
 
 
+def test_equal_rows_get_numbers_each(spark):
+    df = spark.range(3000).selectExpr("cast(null as long) as doc_id", "if(id < 2500, 'same', null) as text")
+    out = sharding.shard(df, 7)
+    slots = defaultdict(list)
+    for r in out.collect():
+        slots[r.shard].append(r.slot)
+    assert sorted(map(len, slots.values())) == [428, 428, 428, 429, 429, 429, 429] and all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
+def test_a_long_walk_ends(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "WALK", 1)
+    out = [r[0] for r in spark.range(91).selectExpr("id as _row", "91L as _total").select(sharding.permuted("_row", "_total", 9)).collect()]
+    assert sorted(out) == list(range(91))
+
+
 @pytest.mark.parametrize("total", [1, 2, 5, 40, 97, 1000])
 def test_the_permutation_is_one(spark, total):
     df = spark.range(total).selectExpr("id as _row", f"{total}L as _total")

@@ -136,7 +136,8 @@ def packed(docs: DataFrame, path: str, capacity: int = 2048, end: int = 0) -> Da
     counts = {int(n): int(c) for n, c in parts.groupBy("length").agg(F.sum("count")).collect()}
     slots = np.array(sorted(plan(counts, capacity)), np.int64).reshape(-1, 6)
     before = staged(parts.selectExpr("part", "length", "coalesce(sum(count) over (partition by length order by part rows between unbounded preceding and 1 preceding), 0) as before"))
-    ranked = pieces.join(before, ["part", "length"])
+    # it grows with the parts, so it is never broadcast
+    ranked = pieces.join(before.hint("merge"), ["part", "length"])
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         # ranks under 2**40 for each length: one search over both
