@@ -43,17 +43,46 @@ def roots(edges, nodes):
     return {n: root(n) for n in nodes}
 
 
-def test_op1_toxicity_on_held_out_rows(spark):
-    # sf0.01 has 305 rows to learn from and gives an AUC of 0.73 only; see the README
-    sf = "/root/testdata/sf0.1"
+@pytest.mark.parametrize("sf, area, caught", [("sf0.01", 0.6, 0.5), ("sf0.1", 0.9, 0.8)])
+def test_op1_toxicity_on_held_out_rows(spark, sf, area, caught):
+    sf = f"/root/testdata/{sf}"
     out = {r.doc_id: r for r in q.op1_toxicity(spark, sf).collect()}
     labels = dict(duckdb.sql(f"select doc_id, toxic from '{sf}/labels.parquet'").fetchall())
     assert len(out) == duckdb.sql(f"select count(*) from '{sf}/documents.parquet'").fetchall()[0][0]
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) and r.held_out == (zlib.crc32(str(d).encode()) % 4 == 2) for d, r in out.items())
     held = [(labels[d], r.score, r.predicted) for d, r in out.items() if r.held_out and d in labels]
     bad, good = [s for y, s, _ in held if y], [s for y, s, _ in held if not y]
-    assert np.mean([(a > b) + (a == b) / 2 for a in bad for b in good]) > 0.9
-    assert np.mean([p for y, _, p in held if y]) > 0.8 and np.mean([p for y, _, p in held if not y]) < 0.05
+    assert np.mean([(a > b) + (a == b) / 2 for a in bad for b in good]) > area
+    assert np.mean([p for y, _, p in held if y]) > caught and np.mean([p for y, _, p in held if not y]) < 0.1
+
+
+def sentences(n, seed, word=None):
+    """Texts of invented words; ``word`` stands in the middle of each."""
+    rng = np.random.default_rng(seed)
+    parts = ["ta", "lo", "mi", "ren", "sol", "ver", "pi", "dan", "gos", "tur"]
+    make = lambda: "".join(rng.choice(parts, rng.integers(1, 4)))
+    out = []
+    for _ in range(n):
+        words = [make() for _ in range(40)]
+        out.append(" ".join(words[:20] + [word] * (word is not None) + words[20:]) + ".")
+    return out
+
+
+@pytest.mark.parametrize("quoting", [0, 1, 3])
+def test_disguised_insults_are_predicted_though_some_clean_text_quotes_them(quoting):
+    texts = sentences(120, 1, "grumblewort") + sentences(240 - quoting, 2) + sentences(quoting, 3, "grumblewort")
+    model = toxicity.fit(texts, [1] * 120 + [0] * 240, 0.1)
+    scorer = toxicity.Scorer(model)
+    forms = ["grumblewort", "gr.umblewort", "grxumblewort", "gr-umble-wort", "g.r.u.m.b.l.e.w.o.r.t", "grumbblewort", "gruumbbleewort", "g r u m b l e w o r t", "GRUMBLEWORT,", "grumblew0rt"]
+    found = scorer.scores([sentences(1, 50 + i, f)[0] for i, f in enumerate(forms)])
+    assert dict(zip(forms, found)) == {f: pytest.approx(s) for f, s in zip(forms, found) if s >= 0.3}
+    assert (scorer.scores(sentences(200, 99)) >= 0.3).mean() < 0.03
+
+
+def test_without_a_telling_word_scores_stay_near_the_share_of_all_texts():
+    model = toxicity.fit(sentences(120, 5) + sentences(240, 6), [1] * 120 + [0] * 240, 0.02)
+    found = toxicity.Scorer(model).scores([*sentences(200, 7), "", None])
+    assert (found >= 0.3).mean() == 0
 
 
 def test_the_kernel_tolerates_gaps_and_inserted_letters():

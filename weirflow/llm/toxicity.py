@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import re
 import string
 from collections.abc import Iterator
@@ -17,6 +18,10 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 #: Letters that a symbol stands for in disguised words.
 FOLD = str.maketrans("0134578@$!", "oieastbasi")
 LETTERS, DECAY, POWER, WINDOW, STEP = 32, 0.7, 4, 14, 3
+#: Similarity to a telling landmark from which a word is read without a letter, and what such a reading costs in the decision.
+NEAR, PUT_IN = 0.5, 0.1
+#: Decisions above count as this much.
+TOP = 2.0
 EDGES = string.punctuation + "«»“”„‘’¿¡…–—·"
 SIGNS = "".join(c for c in EDGES if ord(c) not in FOLD)
 APART = re.compile(r"\s\S\s\S(?:\s|$)")
@@ -38,6 +43,13 @@ def closed(word: str) -> list[str]:
     return sorted(w for w in found - {folded(word)} if len(w) > 3)
 
 
+def shorter(word: str) -> list[str]:
+    """A folded word without any one letter after its first, and without the second of all doubled letters."""
+    once = re.sub(r"(.)\1+", r"\1", word)
+    found = {w[:i] + w[i + 1 :] for w in {word, once} for i in range(2, len(w))} | {once}
+    return sorted(w for w in found - {word} if len(w) > 3)
+
+
 def _codes(words: list[str]) -> np.ndarray:
     """Letters of words of one length as numbers: a-z, the mark, and five more for all else."""
     point = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(words), -1)
@@ -127,9 +139,10 @@ class Landmarks:
 
 @dataclass
 class Model:
-    """What scoring needs: landmarks and their weights in the decision, and the calibration of a document's score."""
+    """What scoring needs: landmarks, the surely telling ones first, their weights in the decision, and the calibration of a document's score."""
 
     landmarks: list[str]
+    told: int
     gamma: np.ndarray
     bias: float
     calibration: np.ndarray
@@ -163,7 +176,14 @@ class Scorer:
     def _learn(self, words: list[str]) -> None:
         short = [[folded(w), *closed(w)] for w in words]
         fresh = sorted({r for readings in short for r in readings}.difference(self.folded))
-        self.folded.update(zip(fresh, (self.landmarks.kernel(fresh) @ self.model.gamma.astype(np.float32)).tolist()))
+        kernel, gamma = self.landmarks.kernel(fresh), self.model.gamma.astype(np.float32)
+        own = kernel @ gamma
+        # a word that comes near a telling landmark is also read without a letter that may have been put in
+        near = np.flatnonzero(kernel[:, : self.model.told].max(1, initial=0) >= NEAR**POWER)
+        forms = [shorter(fresh[i]) for i in near]
+        other = self.landmarks.kernel([f for fs in forms for f in fs]) @ gamma
+        np.maximum.at(own, np.repeat(near, [len(fs) for fs in forms]), other - PUT_IN)
+        self.folded.update(zip(fresh, own.tolist()))
         value = [max(self.folded[r] for r in readings) for readings in short]
         self.known.update(zip(words, range(len(self.value), len(self.value) + len(words))))
         self.value = np.concatenate([self.value, value])
@@ -186,7 +206,8 @@ class Scorer:
                 continue
             at = np.fromiter(map(self.known.__getitem__, ws), np.int64, len(ws))
             starts = np.append(0, np.flatnonzero(self.last[at[:-1]]) + 1)
-            sentence = np.maximum.reduceat(self.value[at], starts) + self.model.bias
+            # far past the margin is far past it: an insult in disguise counts like one that is spelt out
+            sentence = np.minimum(TOP, np.maximum.reduceat(self.value[at], starts) + self.model.bias)
             best = -np.sort(-sentence)[:3]
             out[i] = best[0], best.mean(), np.log1p((sentence > 0).sum())
         return out
@@ -234,19 +255,20 @@ def _support(texts: list[np.ndarray], words: int) -> np.ndarray:
     return np.minimum(within, np.bincount(pairs // (words + 1), minlength=words))
 
 
-def _landmarks(words: list[str], toxic: np.ndarray, clean: np.ndarray, texts: tuple[int, int], most: int) -> tuple[list[str], int]:
-    """Words that tell toxic texts, then frequent words; none too like one before it. And how many of the first kind.
+def _landmarks(words: list[str], toxic: np.ndarray, clean: np.ndarray, texts: tuple[int, int], most: int) -> tuple[list[str], np.ndarray]:
+    """Words that tell toxic texts, then frequent words; none too like one before it. And how sure each of the first kind is.
 
-    toxic and clean: in how many texts of each kind a word is. A word tells if most of its texts are toxic and its toxic share
-    is less likely by chance than one in the number of words tried.
+    toxic and clean: in how many texts of each kind a word is. By the likelihood ratio of its toxic share against that of all
+    texts, with one telling word expected among all that were tried, a word is sure from 0 to 1.
     """
     share = (texts[0] + 1) / (sum(texts) + 2)
-    usual = np.array([4 <= len(w) <= WINDOW for w in words])
+    usual = np.array([4 <= len(w) <= WINDOW for w in words], bool)
     with np.errstate(divide="ignore", invalid="ignore"):
         rate = toxic / (toxic + clean)
         surprise = np.nan_to_num(toxic * np.log(rate / share)) + np.nan_to_num(clean * np.log(np.maximum(1 - rate, 1e-12) / (1 - share)))
-    telling = usual & (rate > max(share, 0.5)) & (surprise > np.log(1 + (toxic > 0).sum()))
+    telling = usual & (toxic > 0) & (rate > share)
     chosen: list[str] = []
+    places: list[int] = []
 
     def extend(order: list[int], upto: int) -> None:
         for i in order:
@@ -254,21 +276,37 @@ def _landmarks(words: list[str], toxic: np.ndarray, clean: np.ndarray, texts: tu
                 break
             if not chosen or Landmarks(chosen).kernel([words[i]]).max() < 0.8**POWER:
                 chosen.append(words[i])
+                places.append(i)
 
     extend(sorted(np.flatnonzero(telling).tolist(), key=lambda i: (-surprise[i], words[i])), most * 7 // 8)
-    told = len(chosen)
+    sure = 1 / (1 + (toxic > 0).sum() * np.exp(-np.minimum(surprise[places], 500)))
     frequent = np.flatnonzero(usual & (clean > 0))
     extend(sorted(frequent.tolist(), key=lambda i: (-clean[i], words[i]))[:200], most)
-    return chosen, told
+    return chosen, sure
+
+
+def disguised(word: str, draw: random.Random) -> list[str]:
+    """The word with a strange letter inside, with two letters doubled, and with a letter inside and one doubled."""
+    strange = lambda w, i: w[:i] + draw.choice(string.ascii_lowercase) + w[i:]
+    double = lambda w, i: w[:i] + w[i] + w[i:]
+    at = lambda w: draw.randrange(2, len(w))
+    twice = double(word, at(word))
+    return [strange(word, at(word)), double(twice, at(twice)), strange(twice, at(twice))]
 
 
 def fit(texts: list[str | None], labels: list[int], prevalence: float | None = None, landmarks: int = 64) -> Model:
-    """Train on labelled texts. A sentence is a bag of words whose decision is its best word's. All words of clean sentences
-    are negatives; of toxic texts those like a telling landmark, then those that the first machine chose, are positives.
-    ``prevalence``: the share of toxic texts where the sample's differs."""
+    """Train on labelled texts. A sentence is a bag of words whose decision is its best word's.
+
+    Positives are words of toxic texts like a telling landmark, then those that the machine itself chose, each weighing as much
+    as its landmark is sure; disguised forms of them are positives too, so that the margin lies beyond an inserted or doubled letter.
+    Words that clean texts hold at least as often, for their number, are negatives; a few clean texts that quote a word do not
+    make it clean. ``prevalence``: the share of toxic texts where the sample's differs. Without texts of both kinds every
+    text gets that share.
+    """
     texts, y = list(texts), np.array(labels, int)
-    rate = min(1 - 1e-6, max(1e-6, float(y.mean()))) if len(y) else 1e-6
-    constant = Model([], np.zeros(0), 0.0, np.array([np.log(rate / (1 - rate)), 0, 0, 0]), np.zeros(3), np.ones(3))
+    real = prevalence if prevalence is not None else float(y.mean()) if len(y) else 0.0
+    rate = min(1 - 1e-6, max(1e-6, real))
+    constant = Model([], 0, np.zeros(0), 0.0, np.array([np.log(rate / (1 - rate)), 0, 0, 0]), np.zeros(3), np.ones(3))
     if not 0 < y.sum() < len(y):
         return constant
     place: dict[str, int] = {}
@@ -277,36 +315,47 @@ def fit(texts: list[str | None], labels: list[int], prevalence: float | None = N
     vocabulary = list(place)
     toxic, clean = (_support([o for o, v in zip(order, y) if v == label], len(place)) for label in (1, 0))
     del order
-    chosen, told = _landmarks(vocabulary, toxic, clean, (int(y.sum()), int((1 - y).sum())), landmarks)
-    if not told:
+    kinds = (int(y.sum()), int((1 - y).sum()))
+    chosen, sure = _landmarks(vocabulary, toxic, clean, kinds, landmarks)
+    if not len(sure):  # no word of a toxic text to learn from
         return constant
     table = Landmarks(chosen)
     gram = table.kernel(chosen).astype(np.float64)
     values, vectors = np.linalg.eigh((gram + gram.T) / 2)
-    good = values > 1e-6
+    good = values > 1e-3 * values.max()  # kernels are single precision
     root = vectors[:, good] / np.sqrt(values[good])
     similar = table.kernel(vocabulary)
-    x, tells = similar @ root.astype(np.float32), similar[:, :told].max(1)
+    x, tells = similar @ root.astype(np.float32), similar[:, : len(sure)].max(1)
+    evidence = (similar[:, : len(sure)] * sure).max(1)
     del similar
-    only = (toxic > 0) & (clean == 0)
-    positive = only & (tells >= 0.79**POWER)
-    beta, bias, hard = np.zeros(x.shape[1]), 0.0, np.zeros(len(vocabulary), bool)
-    for _ in range(4):
-        use = positive | (clean > 0)
-        share = lambda which: 500 / max(1, which.sum())
-        # words of clean texts that the machine took for toxic weigh as much together as all others
-        weight = np.where(positive, share(positive), share(clean > 0)) + np.where(hard, share(hard), 0)
-        beta, bias = _svm(x[use], np.where(positive[use], 1.0, -1.0), weight[use])
+    # of texts of both kinds in equal numbers, most that hold the word are toxic, one more clean text allowed for
+    can = (toxic / kinds[0] > (clean + 1) / kinds[1]) | ((toxic > 0) & (clean == 0))
+    negative = (clean > 0) & ~can
+    positive = can & (tells >= 0.79**POWER)
+    hard = np.zeros(len(vocabulary), bool)
+    for step in range(4):
+        draw = random.Random(step)
+        own = np.flatnonzero(positive)
+        forms = [disguised(vocabulary[i], draw) if len(vocabulary[i]) > 2 else [] for i in own]
+        more = table.kernel([f for fs in forms for f in fs]) @ root.astype(np.float32)
+        trust = evidence[own]
+        scale = 500 / max(1.0, trust.sum())
+        spread = np.repeat(trust * scale / 3, [len(fs) for fs in forms])
+        share = 500 / max(1, negative.sum())
+        # words of clean texts that the machine took for toxic weigh as much together as all others, but none more than a sure positive
+        against = np.full(len(vocabulary), share) + np.where(hard, min(scale, 500 / max(1, hard.sum())), 0)
+        rows = np.concatenate([x[own], more, x[negative]])
+        signs = np.concatenate([np.ones(len(own) + len(more)), -np.ones(negative.sum())])
+        beta, bias = _svm(rows, signs, np.concatenate([trust * scale, spread, against[negative]]))
         value = x @ beta + bias
-        # the machine's own choice among what toxic texts alone hold, near enough to a telling landmark
-        positive, hard = only & (value > 0) & (tells >= 0.58**POWER), hard | ((clean > 0) & (value > 0))
-    model = Model(chosen, root @ beta, bias, np.zeros(4), np.zeros(3), np.ones(3))
+        # the machine's own choice among what may be toxic, near enough to a telling landmark
+        positive, hard = can & (value > 0) & (tells >= 0.58**POWER), hard | (negative & (value > 0))
+    model = Model(chosen, int((sure > 0.5).sum()), root @ beta, bias, np.zeros(4), np.zeros(3), np.ones(3))
     scorer = Scorer(model, 100_000)
     found = np.concatenate([scorer.features(texts[a : a + 200]) for a in range(0, len(texts), 200)])
     model.centre, model.scale = found.mean(0), found.std(0) + 1e-9
     share = y.mean()
-    real = prevalence if prevalence else share
-    model.calibration = _logistic((found - model.centre) / model.scale, y, np.where(y == 1, real / share, (1 - real) / (1 - share)))
+    model.calibration = _logistic((found - model.centre) / model.scale, y, np.where(y == 1, rate / share, (1 - rate) / (1 - share)))
     return model
 
 
@@ -317,14 +366,16 @@ def held_out(key: str = "doc_id") -> Column:
 def trained(docs: DataFrame, labels: DataFrame, most: int = 1200, landmarks: int = 64) -> Model:
     """Fit on a bounded sample: the ``most`` toxic and twice as many clean labelled rows, first by a hash of doc_id.
 
-    Rows whose crc32(doc_id as text) mod 4 is 2 are never learnt from, nor rows with a null label or id.
+    Rows whose crc32(doc_id as text) mod 4 is 2 are never learnt from, nor rows with a null label or id. Of several labels
+    of an id the largest counts, of several texts the first in order.
     """
     rows = labels.filter("doc_id is not null and toxic is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter(~held_out())
     counts = dict(rows.groupBy("toxic").count().collect())
     pick = lambda v, n: rows.filter(F.col("toxic") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     # 3 * most rows at the most
-    sample = F.broadcast(pick(1, most).union(pick(0, 2 * most)).dropDuplicates(["doc_id"]))
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(sample, "doc_id").dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id")
+    sample = F.broadcast(pick(1, most).union(pick(0, 2 * most)).groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(sample, "doc_id")
+    found = found.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).toPandas().sort_values("doc_id")
     total = sum(counts.values())
     return fit(found["text"].tolist(), found["toxic"].tolist(), counts.get(1, 0) / total if total else None, landmarks)
 
@@ -332,7 +383,7 @@ def trained(docs: DataFrame, labels: DataFrame, most: int = 1200, landmarks: int
 def scored(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     """``docs`` with score (0 to 1) and predicted (1 from ``threshold``); other columns pass through.
 
-    Every whole text is scored: each sentence's decision is summed over its words, and the best sentences make the
+    Every whole text is scored: a sentence's decision is its best word's, and the best sentences make the
     document's score. A word with signs inside is also read without them, and its best reading counts. A null or empty text has the score of a text without any word. Repeated rows score alike.
     """
     out = StructType([*docs.schema.fields, StructField("score", DoubleType())])
