@@ -259,7 +259,7 @@ def _landmarks(words: list[str], toxic: np.ndarray, clean: np.ndarray, texts: tu
     """Words that tell toxic texts, then frequent words; none too like one before it. And how sure each of the first kind is.
 
     toxic and clean: in how many texts of each kind a word is. By the likelihood ratio of its toxic share against that of all
-    texts, with one telling word expected among all that were tried, a word is sure from 0 to 1.
+    texts, against odds of twenty for each word that was tried, a word is sure from 0 to 1.
     """
     share = (texts[0] + 1) / (sum(texts) + 2)
     usual = np.array([4 <= len(w) <= WINDOW for w in words], bool)
@@ -279,7 +279,7 @@ def _landmarks(words: list[str], toxic: np.ndarray, clean: np.ndarray, texts: tu
                 places.append(i)
 
     extend(sorted(np.flatnonzero(telling).tolist(), key=lambda i: (-surprise[i], words[i])), most * 7 // 8)
-    sure = 1 / (1 + (toxic > 0).sum() * np.exp(-np.minimum(surprise[places], 500)))
+    sure = 1 / (1 + 20 * (toxic > 0).sum() * np.exp(-np.minimum(surprise[places], 500)))
     frequent = np.flatnonzero(usual & (clean > 0))
     extend(sorted(frequent.tolist(), key=lambda i: (-clean[i], words[i]))[:200], most)
     return chosen, sure
@@ -339,7 +339,8 @@ def fit(texts: list[str | None], labels: list[int], prevalence: float | None = N
         forms = [disguised(vocabulary[i], draw) if len(vocabulary[i]) > 2 else [] for i in own]
         more = table.kernel([f for fs in forms for f in fs]) @ root.astype(np.float32)
         trust = evidence[own]
-        scale = 500 / max(1.0, trust.sum())
+        # all of them weigh as much as negatives do if any is sure
+        scale = 500 * trust.max(initial=0) / max(1e-9, trust.sum())
         spread = np.repeat(trust * scale / 3, [len(fs) for fs in forms])
         share = 500 / max(1, negative.sum())
         # words of clean texts that the machine took for toxic weigh as much together as all others, but none more than a sure positive
