@@ -10,6 +10,7 @@ from itertools import combinations
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from weirflow.llm import near_dedup, packing, queries as q, reputation, secrets, sharding, toxicity
 from weirflow.llm.common import components
@@ -392,4 +393,78 @@ def test_op10_finds_random_tokens_and_leaves_words(spark):
     assert all("random" not in out[40 + i] for i in range(len(plain))) and out[44] == out[45] == ""
     assert out[46] == ",".join(base_spans(texts[46]))
     clean = {r.doc_id: r.text for r in secrets.redacted(df).collect()}
-    assert keys[0] not in clean[0] and clean[0].startswith("é key [SECRET] end") and clean[44] is None and clean[40] == texts[40] and len(clean) == len(texts)
+    at = next(i for i in range(40) if "random" in out[i])
+    assert keys[at] not in clean[at] and clean[at].startswith("é key [SECRET] end") and clean[44] is None and clean[40] == texts[40] and len(clean) == len(texts)
+
+
+def plain_p(token):
+    """The battery by hand: encoding, then the smallest of five p."""
+    v = token.rstrip("=")
+    if not (any(c.isdigit() for c in v) and any(c.isalpha() for c in v) or any(c.islower() for c in v) and any(c.isupper() for c in v)):
+        return None
+    name = next(i for i, (_, rx, _) in enumerate(secrets.ENCODINGS) if re.match(rx, v))
+    v = v.lower() if name in secrets.FOLDED else v
+    letters, n = secrets.ENCODINGS[name][2], len(v)
+    above = lambda z: math.erfc(z / math.sqrt(2)) / 2
+    counts, size = Counter(v), len(letters)
+    chi = sum((counts[c] - n / size) ** 2 / (n / size) for c in letters)
+    alphabet = (chi - (size - 1)) / math.sqrt(2 * (size - 1) * (n - 1) / n)
+    share = sum(c in secrets.VOWELS for c in letters) / size
+    vowels = (sum(c in secrets.VOWELS for c in v) - n * share) / math.sqrt(n * share * (1 - share))
+    kind = lambda c: 0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3
+    shares = {k: x / size for k, x in Counter(map(kind, letters)).items()}
+    held = Counter(map(kind, v))
+    x = sum((held[k] - n * p) ** 2 / (n * p) for k, p in shares.items()) / (len(shares) - 1)
+    spread = 2 / (9 * (len(shares) - 1))
+    kinds = (x ** (1 / 3) - 1 + spread) / math.sqrt(spread)
+    changes = sum(kind(a) != kind(b) for a, b in zip(v, v[1:]))
+    q, r = 1 - sum(p * p for p in shares.values()), sum(p * (1 - p) ** 2 for p in shares.values())
+    runs = (changes - (n - 1) * q) / math.sqrt((n - 1) * q * (1 - q) + 2 * (n - 2) * (r - q * q))
+    at = np.array([letters.index(c) for c in v], float)
+    d = at - at.mean()
+    serial = ((d[:-1] * d[1:]).sum() / (d * d).sum() + 1 / n) * math.sqrt(n)
+    return name, 1 - (1 - min(above(alphabet), above(vowels), above(kinds), 1 - above(runs), 2 * above(abs(serial)))) ** 5
+
+
+def test_the_battery_is_the_plain_one(spark):
+    rng = np.random.default_rng(4)
+    tokens = ["section4paragraph12item7b", "GPT2tokenizervocabularyfile", "iso8601timestampformat", "path/to-some/file_name9", "UPPERONLYTEXTWITHOUTDIGITS", "camelCaseNamesOfSomeLength", "A1" * 12]
+    tokens += ["".join(rng.choice(list(letters), 32)) for _, _, letters in secrets.ENCODINGS for _ in range(6)]
+    df = spark.createDataFrame([(t,) for t in tokens], "t string")
+    got = [r[0] for r in df.select(secrets._tested(F.col("t")).alias("x")).collect()]
+    for token, x in zip(tokens, got):
+        want = plain_p(token)
+        assert (x is None) == (want is None), token
+        if want:
+            assert x.stratum // secrets.CLASSES == want[0] and x.p == pytest.approx(want[1], abs=1e-5), token
+    assert all(x.p < 0.05 for x in got[:4] + got[5:7])
+
+
+def test_false_secrets_are_controlled(spark):
+    """Random keys of 30 characters among ten times as many words with digits: what is reported is mostly random. Words with p over a half count as random, so the share exceeds the rate."""
+    import random
+    import string
+
+    rng = random.Random(2)
+    parts = ["section", "paragraph", "item", "token", "vocabulary", "format", "time", "stamp", "file", "index", "header", "volume"]
+    word = lambda: "".join(rng.choice(parts) + rng.choice(["", str(rng.randrange(100))]) for _ in range(4)) + "7"
+    keys = ["".join(rng.choices(string.ascii_lowercase + string.digits, k=30)) for _ in range(200)]
+    texts = keys + [word() for _ in range(2000)]
+    df = spark.createDataFrame([(i, f"a {t} b") for i, t in enumerate(texts)], "doc_id long, text string")
+    found = [r.doc_id for r in secrets.secrets(df).collect() if "random" in r.spans]
+    assert sum(i < 200 for i in found) >= 170 and sum(i >= 200 for i in found) <= 0.2 * len(found)
+
+
+def test_work_grows_with_the_matches(spark):
+    import time
+
+    def seconds(n):
+        rng = np.random.default_rng(n)
+        lines = "".join(f"deadbeefdeadbeef{i:04x} {''.join(rng.choice(list('abcdefghijkmnpqrstuvwxyz0123456789'), 24))}\n" for i in range(n))
+        df = spark.createDataFrame([(1, lines)], "doc_id long, text string")
+        start = time.time()
+        assert secrets.secrets(df).collect()[0].n_hex == n and secrets.redacted(df).count() == 1
+        return time.time() - start
+
+    seconds(100)
+    assert seconds(8000) < 12 * max(0.5, seconds(2000))

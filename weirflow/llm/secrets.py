@@ -15,27 +15,46 @@ HEX = (r"[0-9a-f]{16,}", 0, 16)
 TOKEN = (r"[A-Za-z0-9+/_-]{20,}={0,2}", 0, 20)
 
 LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+VOWELS, SIGNS = "aeiouAEIOU", "+/_-"
 #: Encodings tried in turn: name, what the whole token must look like, its alphabet. Letters of one case alone are a
 #: word, whatever its length, and no encoding.
 ENCODINGS = (
     ("hex", r"^([0-9a-f]+|[0-9A-F]+)$", DIGITS + "abcdef"),
     ("base32", r"^[A-Z2-7]+$", UPPER + "234567"),
     ("alnum36", r"^([a-z0-9]+|[A-Z0-9]+)$", LOWER + DIGITS),
+    ("alpha52", r"^[A-Za-z]+$", UPPER + LOWER),
     ("alnum62", r"^[A-Za-z0-9]+$", UPPER + LOWER + DIGITS),
     ("base64", r"^[A-Za-z0-9+/]+$", UPPER + LOWER + DIGITS + "+/"),
     ("base64url", r"^[A-Za-z0-9_-]+$", UPPER + LOWER + DIGITS + "-_"),
+    ("base66", r"^[A-Za-z0-9+/_-]+$", UPPER + LOWER + DIGITS + "+/-_"),
 )
-CLASSES, P_BINS = 8, 256
+#: Encodings in which upper case stands for lower case.
+FOLDED = (0, 2)
+#: Length classes of an encoding, bins of p, the lowest p that is ever reported, tests combined.
+CLASSES, P_BINS, FLOOR, TESTS = 8, 400, 0.05, 5
+#: Matches that are put in a row at a time, so that work grows with their number and not with its square.
+STEP = 128
+#: A character that stands for one that a span covers; OTHER in texts that hold it.
+FILL, OTHER = "\ufdd0", "\ufdd1"
 SPAN = "array<struct<s:bigint,e:bigint,v:string>>"
 
 
+def _bound(value: Column, use) -> Column:
+    """``use`` of a value that is computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _pieces(text: Column, pattern: tuple) -> Column:
+    """What lies between matches (g), each match (m) and the text that counts (v); the last piece has no match."""
+    rx, group, _ = pattern
+    rx = F.lit(rx)
+    return F.arrays_zip(F.split(text, rx, -1).alias("g"), F.regexp_extract_all(text, rx, F.lit(0)).alias("m"), F.regexp_extract_all(text, rx, F.lit(group)).alias("v"))
+
+
 def _matches(text: Column, pattern: tuple) -> Column:
     """Spans of a pattern in code points, with the text that counts; the gaps between matches give the places."""
-    rx, group, least = pattern
-    rx = F.lit(rx)
-    gaps = F.split(text, rx, -1)
-    zipped = F.arrays_zip(gaps.alias("g"), F.regexp_extract_all(text, rx, F.lit(0)).alias("m"), F.regexp_extract_all(text, rx, F.lit(group)).alias("v"))
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(SPAN).alias("out"))
+    least = pattern[2]
+    zero = lambda kind: F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(kind).alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["g"])
@@ -43,64 +62,100 @@ def _matches(text: Column, pattern: tuple) -> Column:
         found = F.struct(start.alias("s"), end.alias("e"), x["v"].alias("v"))
         return F.struct(end.alias("at"), F.when(F.length(x["v"]) >= least, F.concat(acc["out"], F.array(found))).otherwise(acc["out"]).alias("out"))
 
-    return F.when(text.rlike(pattern[0]), F.aggregate(zipped, zero, step, lambda acc: acc["out"])).otherwise(F.array().cast(SPAN))
+    def join(acc: Column, c: Column) -> Column:
+        moved = F.transform(c["out"], lambda x: F.struct((x["s"] + acc["at"]).alias("s"), (x["e"] + acc["at"]).alias("e"), x["v"].alias("v")))
+        return F.struct((acc["at"] + c["at"]).alias("at"), F.concat(acc["out"], F.array(moved)).alias("out"))
+
+    def spans(z: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(z)), F.lit(STEP))
+        parts = F.transform(starts, lambda i: F.aggregate(F.slice(z, i, STEP), zero(SPAN), step))
+        return F.aggregate(parts, zero(f"array<{SPAN}>"), join, lambda acc: F.flatten(acc["out"]))
+
+    return F.when(text.rlike(pattern[0]), _bound(_pieces(text, pattern), spans)).otherwise(F.array().cast(SPAN))
+
+
+def _covered(text: Column, pattern: tuple, hit=None) -> Column:
+    """The text with each match that counts, or that ``hit`` of its number picks, written over by FILL."""
+    hit = hit or (lambda x, i: F.length(x["v"]) >= pattern[2])
+    over = lambda x, i: F.concat(x["g"], F.when(hit(x, i), F.repeat(F.lit(FILL), F.length(x["m"]))).otherwise(F.coalesce(x["m"], F.lit(""))))
+    return _bound(_pieces(text, pattern), lambda z: F.array_join(F.transform(z, over), ""))
+
+
+def _of(values) -> Column:
+    return F.array(*[F.lit(float(v)) for v in values])
+
+
+def _above(z: Column) -> Column:
+    """The normal law's share above z."""
+    y = F.abs(z) / 2**0.5
+    k = 1 / (1 + 0.3275911 * y)
+    tail = k * (0.254829592 + k * (-0.284496736 + k * (1.421413741 + k * (-1.453152027 + k * 1.061405429)))) * F.exp(-y * y) / 2
+    return F.when(z >= 0, tail).otherwise(1 - tail)
 
 
 def _tested(token: Column) -> Column:
-    """Encoding, length class and p of a token under the hypothesis that it was drawn uniformly; null: no encoding.
+    """Stratum (encoding and length class) and p of a token under the hypothesis that it was drawn uniformly; null: no encoding.
 
-    Chi-squared over the alphabet (excess only), runs above and below its middle, serial correlation at lag one; the
-    sum of the three squared z has a chi-squared law of three degrees.
+    p is that of the smallest of five: chi-squared over the alphabet, over vowels against all else (more of them only) and over
+    kinds of characters; runs of one kind (fewer only); serial correlation at lag one. What people write departs in these ways.
     """
     v = F.rtrim(token, F.lit("="))
-    name, alphabet = F.lit(None).cast("int"), F.lit(None).cast("string")
-    # two searches: one pattern for both would try every pair of places in a long run of letters
-    mixed = v.rlike("[0-9]") & v.rlike("[A-Za-z]")
-    for i, (_, rx, letters) in reversed(list(enumerate(ENCODINGS))):
-        fits = v.rlike(rx) & mixed
-        name, alphabet = F.when(fits, i).otherwise(name), F.when(fits, letters).otherwise(alphabet)
-    return F.transform(F.array(F.struct(v.alias("v"), name.alias("name"), alphabet.alias("alphabet"))), _battery)[0]
+    name = F.lit(None).cast("int")
+    # separate searches: one pattern for both would try every pair of places in a long run of letters
+    lower, upper, digit = v.rlike("[a-z]"), v.rlike("[A-Z]"), v.rlike("[0-9]")
+    mixed = (digit & (lower | upper)) | (lower & upper)
+    for i, (_, rx, _) in reversed(list(enumerate(ENCODINGS))):
+        name = F.when(v.rlike(rx) & mixed, i).otherwise(name)
+    return _bound(F.struct(v.alias("v"), name.alias("name")), _battery)
 
 
 def _battery(x: Column) -> Column:
-    same = F.when(x["name"].isin(0), F.lower(x["v"])).when(x["name"] == 2, F.lower(x["v"])).otherwise(x["v"])
-    size = F.length(x["alphabet"]).cast("double")
-    chars = F.filter(F.split(same, ""), lambda c: c != "")
-    index = F.transform(chars, lambda c: (F.position(c, x["alphabet"]) - 1).cast("double"))
-    counts = F.transform(F.split(x["alphabet"], ""), lambda c: F.when(c == "", 0).otherwise(F.length(same) - F.length(F.replace(same, c, F.lit("")))).cast("double"))
-    squares = F.aggregate(counts, F.lit(0.0), lambda a, c: a + c * c)
-    zero = F.struct(*[F.lit(v).cast("double").alias(k) for k, v in (("n", 0), ("prev", 0), ("first", 0), ("s", 0), ("ss", 0), ("p", 0), ("runs", 0), ("hi", 0))])
+    alphabet = F.get(F.array(*[F.lit(letters) for _, _, letters in ENCODINGS]), x["name"])
+    same = F.when(x["name"].isin(*FOLDED), F.lower(x["v"])).otherwise(x["v"])
+    kinds = F.translate(same, LOWER + UPPER + DIGITS + SIGNS, "a" * 26 + "A" * 26 + "0" * 10 + "-" * len(SIGNS))
+    held = lambda chars: (F.length(same) - F.length(F.translate(same, chars, ""))).cast("double")
+    first = F.struct(x["name"].alias("name"), same.alias("same"), alphabet.alias("alphabet"), F.length(same).cast("double").alias("n"), held(VOWELS).alias("vowels"),
+                     *[held(c).alias(k) for k, c in zip("ludm", (LOWER, UPPER, DIGITS, SIGNS))], F.length(F.regexp_replace(kinds, r"(.)\1+", "$1")).cast("double").alias("runs"))
+    return _bound(first, _sums)
+
+
+def _sums(x: Column) -> Column:
+    letters = lambda text: F.filter(F.split(text, ""), lambda c: c != "")
+    squares = F.aggregate(letters(x["alphabet"]), F.lit(0.0), lambda a, c: a + F.pow((F.length(x["same"]) - F.length(F.replace(x["same"], c, F.lit("")))).cast("double"), F.lit(2.0)))
+    index = F.transform(letters(x["same"]), lambda c: (F.position(c, x["alphabet"]) - 1).cast("double"))
+    zero = F.struct(*[F.lit(0.0).alias(k) for k in ("n", "prev", "first", "s", "ss", "p")])
 
     def step(a: Column, i: Column) -> Column:
-        high, was = i >= size / 2, a["prev"] >= size / 2
         begins = a["n"] == 0
-        return F.struct(
-            (a["n"] + 1).alias("n"), i.alias("prev"), F.when(begins, i).otherwise(a["first"]).alias("first"), (a["s"] + i).alias("s"), (a["ss"] + i * i).alias("ss"),
-            F.when(begins, 0.0).otherwise(a["p"] + a["prev"] * i).alias("p"), (a["runs"] + F.when(begins | (high != was), 1.0).otherwise(0.0)).alias("runs"), (a["hi"] + high.cast("double")).alias("hi"),
-        )
-
-    sums = F.aggregate(index, zero, step)
-    return F.transform(F.array(F.struct(x["name"].alias("name"), size.alias("size"), squares.alias("squares"), sums.alias("a"))), _p_value)[0]
-
-
-def _p_value(x: Column) -> Column:
-    a, n, size = x["a"], x["a"]["n"], x["size"]
-    chi = F.greatest(F.lit(0.0), (x["squares"] * size / n - n - (size - 1)) / F.sqrt(2 * (size - 1) * (n - 1) / n))
-    hi, lo = a["hi"], n - a["hi"]
-    both = 2 * hi * lo
-    spread = F.sqrt(both * (both - n) / (n * n * (n - 1)))
-    runs = F.when(spread > 0, (a["runs"] - both / n - 1) / spread).otherwise(F.sqrt(n))
+        return F.struct((a["n"] + 1).alias("n"), i.alias("prev"), F.when(begins, i).otherwise(a["first"]).alias("first"), (a["s"] + i).alias("s"), (a["ss"] + i * i).alias("ss"), F.when(begins, 0.0).otherwise(a["p"] + a["prev"] * i).alias("p"))
+
+    return _bound(F.struct(x.alias("x"), squares.alias("squares"), F.aggregate(index, zero, step).alias("a")), _p_value)
+
+
+def _p_value(y: Column) -> Column:
+    x, a, n = y["x"], y["a"], y["x"]["n"]
+    sizes = [len(letters) for _, _, letters in ENCODINGS]
+    shares = [[sum(c in chars for c in letters) / len(letters) for chars in (LOWER, UPPER, DIGITS, SIGNS)] for _, _, letters in ENCODINGS]
+    size, vowel = F.get(_of(sizes), x["name"]), F.get(_of([sum(c in VOWELS for c in letters) / len(letters) for _, _, letters in ENCODINGS]), x["name"])
+    alphabet = (y["squares"] * size / n - n - (size - 1)) / F.sqrt(2 * (size - 1) * (n - 1) / n)
+    vowels = (x["vowels"] - n * vowel) / F.sqrt(n * vowel * (1 - vowel))
+    chi, degrees = F.lit(0.0), F.get(_of([sum(p > 0 for p in ps) - 1 for ps in shares]), x["name"])
+    for k, kind in enumerate("ludm"):
+        p = F.get(_of([ps[k] for ps in shares]), x["name"])
+        chi = chi + F.when(p > 0, F.pow(x[kind] - n * p, F.lit(2.0)) / (n * p)).otherwise(0.0)
+    spread = 2 / (9 * degrees)
+    kinds = (F.pow(chi / degrees, F.lit(1 / 3)) - (1 - spread)) / F.sqrt(spread)
+    change = F.get(_of([1 - sum(p * p for p in ps) for ps in shares]), x["name"])
+    twice = F.get(_of([sum(p * (1 - p) ** 2 for p in ps) for ps in shares]), x["name"])
+    runs = (x["runs"] - 1 - (n - 1) * change) / F.sqrt((n - 1) * change * (1 - change) + 2 * (n - 2) * (twice - change * change))
     mean = a["s"] / n
     lagged = a["p"] - mean * (2 * a["s"] - a["first"] - a["prev"]) + (n - 1) * mean * mean
     whole = a["ss"] - n * mean * mean
     serial = F.when(whole > 0, (lagged / whole + 1 / n) * F.sqrt(n)).otherwise(F.sqrt(n))
-    t = F.least(F.lit(1200.0), chi * chi + runs * runs + serial * serial)
-    y = F.sqrt(t / 2)
-    k = 1 / (1 + 0.3275911 * y)
-    poly = k * (0.254829592 + k * (-0.284496736 + k * (1.421413741 + k * (-1.453152027 + k * 1.061405429))))
-    p = (poly + 2 / 1.7724538509055159 * y) * F.exp(-t / 2)
-    grade = F.least(F.lit(CLASSES - 1), F.floor(F.log2(n / 20 + 1e-9))).cast("int")
-    return F.when(x["name"].isNotNull(), F.struct((x["name"] * CLASSES + F.greatest(F.lit(0), grade)).alias("stratum"), F.least(F.lit(1.0), F.greatest(p, F.lit(1e-300))).alias("p")))
+    least = F.least(_above(alphabet), _above(vowels), _above(kinds), 1 - _above(runs), 2 * _above(F.abs(serial)))
+    p = 1 - F.pow(1 - least, F.lit(float(TESTS)))
+    grade = F.least(F.lit(CLASSES - 1), F.floor(F.log2(n / 20 + 1e-9) * 2)).cast("int")
+    return F.when(x["name"].isNotNull(), F.struct((x["name"] * CLASSES + F.greatest(F.lit(0), grade)).alias("stratum"), F.least(F.lit(1.0), F.greatest(F.lit(0.0), p)).alias("p")))
 
 
 def _kind(k: int):
@@ -112,54 +167,55 @@ def _is(k: int):
 
 
 def scanned(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds base (k, s, e) and cand (s, e, stratum, p) to every row; both arrays, empty where nothing is found."""
+    """Adds to every row base (s, k, e), rest (the text with base spans written over; null without one), tokens and their tests.
+
+    Tokens are looked for in what the base spans leave, so none overlaps one. Tests are null where no encoding fits.
+    """
     t = F.coalesce(F.col(text), F.lit(""))
     out = docs
     for k, pattern in enumerate((ASSIGN, ACCESS, HEX)):
         out = out.withColumn(f"_k{k}", _matches(t, pattern))
+    rest = F.when(t.contains(FILL), F.replace(t, F.lit(FILL), F.lit(OTHER))).otherwise(t)
+    for k, pattern in enumerate((ASSIGN, ACCESS, HEX)):
+        out = out.withColumn("_r", F.when(F.size(f"_k{k}") > 0, _covered(rest, pattern)).otherwise(rest))
+        rest = F.col("_r")
     base = F.array_sort(F.concat(*[F.transform(f"_k{k}", _kind(k)) for k in range(3)]))
-    out = out.withColumn("base", base).withColumn("_t", _matches(t, TOKEN))
-    free = F.filter("_t", lambda x: ~F.exists("base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
-    cand = F.transform(free, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), _tested(x["v"]).alias("test")))
-    return out.withColumn("cand", F.filter(cand, lambda x: x["test"].isNotNull())).drop("_k0", "_k1", "_k2", "_t")
+    out = out.withColumn("base", base).withColumn("tokens", _matches(F.col("_r"), TOKEN)).withColumn("rest", F.when(F.size("base") > 0, F.col("_r")))
+    return out.withColumn("tests", F.transform("tokens", lambda x: _tested(x["v"]))).drop("_k0", "_k1", "_k2", "_r")
 
 
 def _bin(p: Column) -> Column:
-    return F.least(F.lit(P_BINS - 1), F.floor(-F.log10(p) * 8)).cast("int")
+    return F.least(F.lit(P_BINS - 1), F.floor(p * P_BINS)).cast("int")
 
 
-def dismissal(found: DataFrame, rate: float) -> dict[int, int]:
-    """For each stratum (encoding and length class) the p bin from which randomness is rejected.
+def limits(found: DataFrame, rate: float) -> dict[int, int]:
+    """For each stratum (encoding and length class) the p bin from which a token is reported.
 
-    Benjamini-Hochberg over each stratum: of the tokens dismissed as not random at most ``rate`` are random, at every
-    length alike, though short tokens give the tests little to go by. At most 48 strata by 256 bins.
+    Random tokens have a uniform p, others a low one, the longer the lower. Twice the tokens with p over a half are so many random
+    ones; the limit is the least p, FLOOR or more, at which the reported tokens beyond that number are at most ``rate`` of
+    all that are reported. At most 64 strata by P_BINS bins reach the driver.
     """
-    tests = found.select(F.explode("cand").alias("c")).select(F.col("c.test.stratum").alias("stratum"), _bin(F.col("c.test.p")).alias("bin"))
+    tests = found.select(F.explode("tests").alias("c")).filter("c is not null").select(F.col("c.stratum").alias("stratum"), _bin(F.col("c.p")).alias("bin"))
     counts: dict[int, dict[int, int]] = {}
     for stratum, b, n in tests.groupBy("stratum", "bin").count().collect():
         counts.setdefault(stratum, {})[b] = n
-    out = {}
+    half, out = P_BINS // 2, {}
     for stratum, by in counts.items():
-        total, upto = sum(by.values()), 0
-        for b in sorted(by, reverse=True):
-            upto += by[b]
-            if 10 ** (-b / 8) <= rate * upto / total:
-                out[stratum] = b
+        random = 2 * (1 + sum(n for b, n in by.items() if b >= half))
+        out[stratum] = next((b for b in range(round(FLOOR * P_BINS), half) if 1 - random * (1 - b / P_BINS) / (1 + sum(n for c, n in by.items() if c >= b)) <= rate), half)
     return out
 
 
-def with_spans(found: DataFrame, cut: dict[int, int]) -> DataFrame:
-    """Adds ``all``: base spans and the candidates whose randomness isn't rejected, by start and kind."""
-    limit = F.map_from_arrays(F.array(*map(F.lit, cut)), F.array(*map(F.lit, cut.values()))) if cut else None
+def _reported(limit: dict[int, int]):
+    """Whether a test says that its token is a secret."""
+    known = F.map_from_arrays(F.array(*map(F.lit, limit)), F.array(*map(F.lit, limit.values()))) if limit else None
 
-    def stays(x: Column) -> Column:
-        if limit is None:
-            return F.lit(True)
-        least = F.try_element_at(limit, x["test"]["stratum"])
-        return least.isNull() | (_bin(x["test"]["p"]) < least)
+    def says(test: Column) -> Column:
+        if known is None:
+            return F.lit(False)
+        return F.coalesce(_bin(test["p"]) >= F.try_element_at(known, test["stratum"]), F.lit(False))
 
-    more = F.transform(F.filter("cand", stays), _kind(3))
-    return found.withColumn("all", F.array_sort(F.concat("base", more)))
+    return says
 
 
 def _joined(spans: str) -> Column:
@@ -173,32 +229,37 @@ def secrets(docs: DataFrame, rate: float = 0.05) -> DataFrame:
     A null text counts as empty: no spans, and the hash of the empty string. Rows are judged each by itself, repeated
     rows alike; an empty table gives an empty result; other columns are not read.
     """
-    found = staged(scanned(docs.select("doc_id", "text")).select("doc_id", "base", "cand"))
-    out = with_spans(found, dismissal(found, rate))
+    found = scanned(docs.select("doc_id", "text"))
+    tokens = F.filter(F.arrays_zip(F.transform("tokens", _kind(3)).alias("t"), F.col("tests").alias("test")), lambda x: x["test"].isNotNull())
+    found = staged(found.select("doc_id", "base", tokens.alias("cand"), F.filter("tests", lambda x: x.isNotNull()).alias("tests")))
+    says = _reported(limits(found, rate))
+    out = found.withColumn("all", F.array_sort(F.concat("base", F.transform(F.filter("cand", lambda x: says(x["test"])), lambda x: x["t"]))))
     counts = [F.size(F.filter("base", _is(k))).cast("long").alias(f"n_{KINDS[k]}") for k in range(3)]
     return out.select("doc_id", *counts, F.sha2(_joined("base"), 256).alias("base_sha256"), _joined("all").alias("spans"))
 
 
 def redacted(docs: DataFrame, rate: float = 0.05, mark: str = "[SECRET]") -> DataFrame:
-    """``docs`` with every span replaced by ``mark``, and n_chars set anew where the text changed. No row is dropped."""
+    """``docs`` with every span replaced by ``mark``, and n_chars set anew where the text changed. No row is dropped.
+
+    Spans that touch are replaced by one mark. The texts are scanned once; the second pass looks at those with a span only.
+    """
     columns = docs.columns
-    cut = dismissal(scanned(docs.select("text")).select("cand"), rate)
     # numbers for names, so that no column of the documents clashes with one made here
     named = [c if c == "text" else f"d{i}" for i, c in enumerate(columns)]
-    out = with_spans(scanned(docs.toDF(*named)), cut)
+    found = scanned(docs.toDF(*named))
+    found = staged(found.select(*named, "rest", "tests"))
+    says = _reported(limits(found.select("tests"), rate))
     text = F.col("text")
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        inside = x["s"] < acc["at"]
-        piece = F.concat(F.substring(text, (acc["at"] + 1).cast("int"), (x["s"] - acc["at"]).cast("int")), F.lit(mark))
-        return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), F.when(inside, acc["out"]).otherwise(F.array_append(acc["out"], piece)).alias("out"))
-
-    last = lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, (acc["at"] + 1).cast("int"), F.lit(2**31 - 1)))
-    clean = F.when(F.size("all") > 0, F.aggregate("all", zero, step, last)).otherwise(text)
-    out = out.withColumn("_clean", clean)
+    flagged = F.exists("tests", lambda x: says(x))
+    rest = F.coalesce("rest", F.replace(text, F.lit(FILL), F.lit(OTHER)))
+    over = F.when(flagged, _covered(rest, TOKEN, lambda x, i: F.coalesce(says(F.get("tests", i)), F.lit(False)))).otherwise(rest)
+    clean = F.regexp_replace(over, f"{FILL}+", mark.replace("\\", "\\\\").replace("$", "\\$"))
+    # what stood for itself comes back
+    clean = F.when(text.contains(FILL), F.replace(clean, F.lit(OTHER), F.lit(FILL))).otherwise(clean)
+    changed = F.col("rest").isNotNull() | flagged
+    out = found.withColumn("_changed", F.coalesce(changed, F.lit(False))).withColumn("_clean", F.when(F.col("_changed"), clean).otherwise(text))
     made = {"text": F.col("_clean")}
     if "n_chars" in columns:
         old = F.col(named[columns.index("n_chars")])
-        made["n_chars"] = F.when(F.size("all") > 0, F.length("_clean").cast("long")).otherwise(old).cast(docs.schema["n_chars"].dataType)
+        made["n_chars"] = F.when(F.col("_changed"), F.length("_clean").cast("long")).otherwise(old).cast(docs.schema["n_chars"].dataType)
     return out.select(*[made.get(c, F.col(n)).alias(c) for c, n in zip(columns, named)])
