@@ -159,8 +159,8 @@ def unique(value: Column) -> Column:
 
 @function("tally", "value")
 def tally(value: Column) -> Column:
-    """How often each text is in the array."""
-    each = F.array_distinct(value)
+    """How often each text is in the array, by the text's order."""
+    each = F.array_sort(F.array_distinct(value))
     return F.map_from_entries(F.transform(each, lambda v: F.struct(v.alias("key"), F.size(F.filter(value, lambda x: x == v)).cast("bigint").alias("value"))))
 
 
@@ -181,7 +181,7 @@ def match_array(value: Column, pattern, all: bool = False) -> Column:
 def object_from_array(values: Value, keys: Value | None = None) -> Column:
     if keys is not None:
         return F.map_from_arrays(keys.col, values.col)
-    return F.map_from_entries(F.transform(values.col, lambda p: F.struct(p[0].alias("key"), p[1].alias("value"))))
+    return F.map_from_entries(F.transform(values.col, lambda p: F.struct(p[0].cast("string").alias("key"), p[1].alias("value"))))
 
 
 @function("merge", "to", "from", "deep=False", literal="deep", typed=True)

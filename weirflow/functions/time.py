@@ -98,7 +98,7 @@ def from_unix_timestamp(value: Column, unit: str = "seconds") -> Column:
 
 @function("to_unix_timestamp", "value", "unit='seconds'", literal="unit")
 def to_unix_timestamp(value: Column, unit: str = "seconds") -> Column:
-    us = F.unix_micros(value)
+    us = F.unix_micros(value.cast("timestamp"))
     return us * 1000 if unit == "nanoseconds" else F.floor(us / _UNIX[unit]).cast("bigint")
 
 
