@@ -327,6 +327,60 @@ def test_op8_language_model(spark, data, docs):
     assert sum(r.score for r in some) > sum(r.base_score for r in some)
 
 
+def test_probabilities_after_a_context_sum_to_one_and_follow_the_seats():
+    from weirflow.llm import language_model as lm
+
+    rng = np.random.default_rng(1)
+    words, contexts = 13, [5, 2049, 2050, 65535]
+    of, ctx = np.repeat(np.arange(words), len(contexts)), np.tile(contexts, words)
+    count = rng.poisson(3 * rng.random(len(of)) ** 3)
+    count[of == words - 1] = 0  # the unknown word
+    bucket = lm.Bucket(0, of, ctx, count, words, 8)
+    known = []
+    for _ in range(4):
+        *_, now = bucket.sweeps(known, len(known) + 1)
+        known.append(lm.gathered(lm.summed(bucket, now)) | {"base": 1 / words})
+        assert ((now["t2"] >= (count > 0)) & (now["t2"] <= count)).all()
+    for s, now in enumerate(bucket.sweeps(known, 4)):
+        assert [now["p2"][ctx == c].sum() for c in contexts] == pytest.approx([1] * 4)
+        # by hand, from the seats of each word in each restaurant up to the root
+        k = known[s]
+        for i in range(len(of)):
+            d, w, c, up = k["discount"], of[i], ctx[i], ctx[i] >> lm.OWN_BITS
+            mine = (bucket.word_of == w) & (bucket.parent == up)
+            p0 = (now["c0"][w] - d[0] * now["t0"][w] + (1 + d[0] * k["t0"]) / words) / (1 + k["c0"])
+            p1 = (now["c1"][mine][0] - d[1] * now["t1"][mine][0] + (1 + d[1] * k["t1"][up]) * p0) / (1 + k["c1"][up])
+            assert now["p2"][i] == pytest.approx((count[i] - d[2] * now["t2"][i] + (1 + d[2] * k["t2"][c]) * p1) / (1 + k["c2"][c]))
+
+
+def test_seats_follow_the_plain_restaurant():
+    from weirflow.llm import language_model as lm
+
+    def plain(n, fresh, discount, rng):
+        tables = 1
+        for sat in range(1, n):
+            tables += rng.random() < fresh / (sat - discount * tables + fresh)
+        return tables
+
+    rng = np.random.default_rng(6)
+    for n, fresh in ((2, 0.5), (12, 2.0), (200, 3.0)):
+        want = np.mean([plain(n, fresh, 0.6, rng) for _ in range(4000)])
+        got = lm.seated(np.full(4000, n), np.full(4000, fresh), 0.6, rng).mean()
+        assert got == pytest.approx(want, rel=0.03)
+
+
+def test_documents_that_occur_twice_score_apart(spark):
+    from weirflow.llm import language_model as lm
+
+    rng = np.random.default_rng(2)
+    texts = [" ".join(f"w{x}" for x in rng.zipf(1.3, 120) % 5000) for _ in range(300)]
+    rows = [(i, texts[i] if i < 300 else texts[i - 300]) for i in range(330)]
+    out = {r.doc_id: r.score / r.n_tokens for r in lm.scored(spark.createDataFrame(rows, "doc_id long, text string")).filter("not held_out").collect()}
+    twice = [out[i] for i in range(30) if i in out and i + 300 in out]
+    once = [out[i] for i in range(30, 300) if i in out]
+    assert np.mean([a > b for a in twice for b in once]) > 0.9
+
+
 def test_op9_sharding(spark, data, docs):
     rows = q.op9_sharding(spark, data).collect()
     assert sorted((r.doc_id, r["size"], r.text_crc32) for r in rows) == sorted((d, len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for d, t, _ in docs)

@@ -1,4 +1,4 @@
-"""Language-model scores by a hierarchical Pitman-Yor model of words in the context of how the word before ends."""
+"""Language-model scores by a hierarchical Pitman-Yor model of words in the context of the word before."""
 
 from __future__ import annotations
 
@@ -10,24 +10,29 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import staged, words
+from .common import mix, staged, words
 
-#: Contexts: the last two bytes of the word before (65,536 at most), whose parents are its last byte, whose parent is the root.
-CONTEXTS = 1 << 16
+#: Restaurants: the word before, by its hash, among those whose ends are of one group. A group's restaurants share a parent, and the
+#: parents share the root. Rare words may share a restaurant; a frequent one has nearly all customers of its own.
+GROUP_BITS, OWN_BITS = 5, 11
+CONTEXTS, PARENTS = 1 << GROUP_BITS + OWN_BITS, 1 << GROUP_BITS
 END = np.uint64(1)
 THETA = 1.0
+#: Characters of text for a bucket of words.
+BUCKET = 12_000_000
 MESSAGE = "bucket int, chunk long, w binary, n binary, ctx binary, cnt binary"
 
 
-def _messages(docs: DataFrame, buckets: int, tokens: int) -> DataFrame:
-    """The corpus in chunks: for each bucket of words a message (kind 0), and the places of each document's tokens (kind 1).
+def _messages(docs: DataFrame, buckets: int, tokens: int, kind: int) -> DataFrame:
+    """The corpus in chunks: of each a message for each bucket of words (kind 0), or the places of its documents' tokens (kind 1).
 
     A message has the chunk's distinct words of the bucket, how many contexts each has, the contexts, and the
-    training count of each. A place is the number of a token's pair of word and context among all the chunk's.
+    training count of each. A place is the number of a token's pair of word and context among all the chunk's; with places
+    the bucket is the number of pairs.
     """
 
     def chunk(number: int, ids: list, held: list, texts: list[str | None]) -> Iterator[dict]:
-        hashed, counts, last, before = words(texts, lower=True)
+        hashed, counts, last, _ = words(texts, lower=True)
         total = len(hashed) + len(texts)
         ends = np.cumsum(counts + 1) - 1
         inner = np.ones(total, bool)
@@ -35,10 +40,18 @@ def _messages(docs: DataFrame, buckets: int, tokens: int) -> DataFrame:
         token = np.full(total, END, np.uint64)
         token[inner] = np.maximum(hashed, np.uint64(2))
         own = np.zeros(total, np.int64)
-        own[inner] = last.astype(np.int64) << 8 | before
+        with np.errstate(over="ignore"):
+            group = mix(last.astype(np.uint64) + END) & np.uint64(PARENTS - 1)
+            own[inner] = (group << np.uint64(OWN_BITS) | mix(hashed) & np.uint64((1 << OWN_BITS) - 1)).astype(np.int64)
         context = np.concatenate([[0], own[:-1]])
         w, at = np.unique(token, return_inverse=True)
         pair, place = np.unique(at * CONTEXTS + context, return_inverse=True)
+        if kind == 1:
+            lost = np.array([i is None for i in ids])
+            key = np.array([0 if i is None else i for i in ids], "<i8")
+            flags = (np.array(held, bool) + 2 * lost).astype("u1")
+            yield {"bucket": len(pair), "chunk": number, "w": key.tobytes(), "n": (counts + 1).astype("<u4").tobytes(), "ctx": flags.tobytes(), "cnt": _tight(place.astype("<u4"))}
+            return
         learn = np.repeat(~np.array(held, bool), counts + 1)
         count = np.bincount(place[learn], minlength=len(pair)).astype("<u4")
         of, context = pair // CONTEXTS, (pair % CONTEXTS).astype("<u2")
@@ -49,11 +62,7 @@ def _messages(docs: DataFrame, buckets: int, tokens: int) -> DataFrame:
         for b in np.flatnonzero(np.diff(cuts)):
             i, j = cuts[b], cuts[b + 1]
             p, q = starts[i], starts[j]
-            yield {"kind": 0, "bucket": b, "chunk": number, "w": w[i:j].astype("<u8").tobytes(), "n": per[i:j].tobytes(), "ctx": context[p:q].tobytes(), "cnt": count[p:q].tobytes()}
-        lost = np.array([i is None for i in ids])
-        key = np.array([0 if i is None else i for i in ids], "<i8")
-        flags = (np.array(held, bool) + 2 * lost).astype("u1")
-        yield {"kind": 1, "bucket": 0, "chunk": number, "w": key.tobytes(), "n": (counts + 1).astype("<u4").tobytes(), "ctx": flags.tobytes(), "cnt": _tight(place.astype("<u4"))}
+            yield {"bucket": b, "chunk": number, "w": w[i:j].astype("<u8").tobytes(), "n": per[i:j].tobytes(), "ctx": context[p:q].tobytes(), "cnt": count[p:q].tobytes()}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         number = TaskContext.get().partitionId() << 24
@@ -73,7 +82,7 @@ def _messages(docs: DataFrame, buckets: int, tokens: int) -> DataFrame:
 
     # the id as text, since a null would turn numbers to floats on the way
     read = docs.select(F.col("doc_id").cast("string").alias("id"), held_out().alias("held"), "text")
-    return read.mapInPandas(run, f"kind int, {MESSAGE}")
+    return read.mapInPandas(run, MESSAGE)
 
 
 def _tight(x: np.ndarray) -> bytes:
@@ -106,14 +115,14 @@ def seated(customers: np.ndarray, fresh: np.ndarray, discount: float, rng: np.ra
     """Tables that serve a word in a restaurant, after all its customers have been seated anew, one by one.
 
     The next customer opens a table with odds ``fresh`` (strength and discounted tables, times the parent's
-    probability) against customers less discounted tables. From the 64th on a sixteenth more are seated at a time.
+    probability) against customers less discounted tables. A sixteenth of those who sit are seated at once, one at least.
     """
     order = np.argsort(-customers, kind="stable")
     c, a = customers[order], fresh[order]
     tables = (c > 0).astype(np.float64)
     at, active = 1, int((c > 1).sum())
     while active:
-        block = max(1, at // 16) if at >= 64 else 1
+        block = max(1, at // 16)
         n = np.minimum(block, c[:active] - at)
         p = a[:active] / (at + (n - 1) / 2 - discount * tables[:active] + a[:active])
         tables[:active] += rng.binomial(n, np.clip(p, 0, 1))
@@ -129,9 +138,9 @@ class Bucket:
 
     def __init__(self, number: int, of: np.ndarray, ctx: np.ndarray, count: np.ndarray, words: int, seed: int):
         self.number, self.of, self.ctx, self.count, self.seed = number, of, ctx, count, seed
-        self.middle, self.to_middle = np.unique(of * 256 + (ctx >> 8), return_inverse=True)
+        self.middle, self.to_middle = np.unique(of * PARENTS + (ctx >> OWN_BITS), return_inverse=True)
         self.words = words
-        self.word_of, self.parent = self.middle // 256, self.middle % 256
+        self.word_of, self.parent = self.middle // PARENTS, self.middle % PARENTS
 
     def sweeps(self, known: list[dict], tokens: int) -> Iterator[dict]:
         """First one table for each word in each restaurant, then seats sampled given the sweep before; its totals follow in ``known``."""
@@ -160,24 +169,35 @@ class Bucket:
             yield now
 
 
+def summed(b: Bucket, now: dict) -> pd.DataFrame:
+    """What each restaurant holds of a bucket's words: customers, tables, and how many words have one customer or two."""
+    out = []
+    for level, where, c, t in ((2, b.ctx, b.count, now["t2"]), (1, b.parent, now["c1"], now["t1"]), (0, np.zeros(b.words, np.int64), now["c0"], now["t0"])):
+        places, at = np.unique(where, return_inverse=True)
+        sums = [np.bincount(at, x, len(places)) for x in (c, t, c == 1, c == 2)]
+        out.append(pd.DataFrame({"level": level, "place": places, "c": sums[0], "t": sums[1], "once": sums[2], "twice": sums[3]}))
+    return pd.concat(out)
+
+
 def _totals(merged: DataFrame, known: list[dict], seed: int) -> dict:
-    """What all restaurants of a sweep hold, summed over the buckets: at most 65,536 + 256 + 1 of them, however large the corpus."""
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        row = group.iloc[0]
-        of = np.repeat(np.arange(row["words"]), np.frombuffer(row["n"], "<u4"))
-        ctx, count = np.frombuffer(row["ctx"], "<u2").astype(np.int64), np.frombuffer(row["cnt"], "<u8").astype(np.int64)
-        b = Bucket(int(row["bucket"]), of, ctx, count, int(row["words"]), seed)
-        *_, now = b.sweeps(known, len(known) + 1)
-        out = []
-        for level, where, c, t in ((2, b.ctx, b.count, now["t2"]), (1, b.parent, now["c1"], now["t1"]), (0, np.zeros(b.words, np.int64), now["c0"], now["t0"])):
-            places, at = np.unique(where, return_inverse=True)
-            sums = [np.bincount(at, x, len(places)) for x in (c, t, c == 1, c == 2)]
-            out.append(pd.DataFrame({"level": level, "place": places, "c": sums[0], "t": sums[1], "once": sums[2], "twice": sums[3]}))
-        return pd.concat(out)
-
-    rows = merged.groupBy("bucket").applyInPandas(run, "level int, place long, c double, t double, once double, twice double").groupBy("level", "place").agg(*[F.sum(x).alias(x) for x in ("c", "t", "once", "twice")]).toPandas()
-    out: dict = {"c2": np.zeros(CONTEXTS), "t2": np.zeros(CONTEXTS), "c1": np.zeros(256), "t1": np.zeros(256), "c0": 0.0, "t0": 0.0, "discount": []}
+    """What all restaurants of a sweep hold, summed over the buckets: at most 65,536 + 32 + 1 of them, however large the corpus."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                of = np.repeat(np.arange(row.words), np.frombuffer(row.n, "<u4"))
+                ctx, count = np.frombuffer(row.ctx, "<u2").astype(np.int64), np.frombuffer(row.cnt, row.kind).astype(np.int64)
+                b = Bucket(int(row.bucket), of, ctx, count, int(row.words), seed)
+                *_, now = b.sweeps(known, len(known) + 1)
+                yield summed(b, now)
+
+    rows = merged.mapInPandas(run, "level int, place long, c double, t double, once double, twice double").groupBy("level", "place").agg(*[F.sum(x).alias(x) for x in ("c", "t", "once", "twice")])
+    return gathered(rows.toPandas())
+
+
+def gathered(rows: pd.DataFrame) -> dict:
+    """Customers and tables of all restaurants as arrays, and each level's discount from the words seen once and twice."""
+    out: dict = {"c2": np.zeros(CONTEXTS), "t2": np.zeros(CONTEXTS), "c1": np.zeros(PARENTS), "t1": np.zeros(PARENTS), "c0": 0.0, "t0": 0.0, "discount": []}
     for level in range(3):
         some = rows[rows["level"] == level]
         once, twice = some["once"].sum(), some["twice"].sum()
@@ -192,26 +212,28 @@ def _totals(merged: DataFrame, known: list[dict], seed: int) -> dict:
 def scored(docs: DataFrame, sweeps: int = 3, burn: int = 1, tokens: int = 2_000_000, seed: int = 8) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every document.
 
-    Tokens: lower-cased words, then one end. The model's restaurants are the words after any word that ends in the same
-    two bytes; they share parents (the same last byte) and these share the root, over a uniform base that has one
-    place for all unknown words, so the probabilities after any context sum to one. ``sweeps`` rounds of Gibbs
-    sampling seat all customers anew given the round before; the predictive probabilities of those after ``burn`` are averaged.
+    Tokens: lower-cased words, then one end. The model's restaurants are of the words that follow a word, 65,536 by the hash
+    of that word; words whose ends are of one of 32 groups share a parent and these share the root, over a uniform base that
+    has one place for all unknown words, so the probabilities after any context sum to one. ``sweeps`` rounds of
+    sampling seat all customers anew, one after another, given all restaurants' totals of the round before; discounts follow from the
+    words seen once and twice; the predictive probabilities of the rounds after ``burn`` are averaged.
     All counts are of all training documents. The corpus is exchanged as arrays: each chunk asks every bucket of
-    words once for what it needs, and the bucket answers with counts and probabilities. Null texts count as empty: one end.
-    A null doc_id belongs to training; repeated rows count each time; an empty table gives an empty result.
+    words once for what it needs, and the bucket answers with counts and probabilities. So ``docs`` is read three times, and
+    must give the same rows in the same partitions each time, as a table does; else the job fails. Null texts count as empty: one
+    end. A null doc_id belongs to training; repeated rows count each time; an empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    buckets = max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    sent = staged(_messages(docs, buckets, tokens), "kind")
-    messages = sent.filter("kind = 0").drop("kind")
+    # buckets by the size of the corpus, so that one is as much work whatever that is
+    buckets = max(16, -(-int(docs.agg(F.sum(F.length("text"))).first()[0] or 0) // BUCKET))
+    messages = _messages(docs, buckets, tokens, 0)
 
     def merge(group: pd.DataFrame) -> pd.DataFrame:
         w, of, ctx, count, _, _ = _joined(group)
         n = np.bincount(of, minlength=len(w)).astype("<u4")
         total = np.bincount(of, count, len(w))
-        return pd.DataFrame([{"bucket": group["bucket"].iloc[0], "words": len(w), "n": n.tobytes(), "ctx": ctx.astype("<u2").tobytes(), "cnt": count.astype("<u8").tobytes(), "tokens": int(count.sum()), "known": int((total > 0).sum())}])
+        kind = "<u4" if count.max(initial=0) < 2**32 else "<u8"
+        return pd.DataFrame([{"bucket": group["bucket"].iloc[0], "words": len(w), "n": n.tobytes(), "ctx": ctx.astype("<u2").tobytes(), "cnt": count.astype(kind).tobytes(), "kind": kind, "tokens": int(count.sum()), "known": int((total > 0).sum())}])
 
-    merged = staged(messages.groupBy("bucket").applyInPandas(merge, "bucket int, words long, n binary, ctx binary, cnt binary, tokens long, known long"))
+    merged = staged(messages.groupBy("bucket").applyInPandas(merge, "bucket int, words long, n binary, ctx binary, cnt binary, kind string, tokens long, known long"))
     n, v = (int(x or 0) for x in merged.agg(F.sum("tokens"), F.sum("known")).first())
     known: list[dict] = []
     for _ in range(sweeps + 1):
@@ -236,6 +258,8 @@ def scored(docs: DataFrame, sweeps: int = 3, burn: int = 1, tokens: int = 2_000_
         for row in places.itertuples():
             length = np.frombuffer(row.n, "<u4").astype(np.int64)
             place, starts = _loose(row.cnt), np.cumsum(length) - length
+            if row.bucket != len(logs):
+                raise ValueError("the documents were read in another order the second time")
             flags = np.frombuffer(row.ctx, "u1")
             ids = pd.array(np.frombuffer(row.w, "<i8"), "Int64")
             ids[(flags & 2) > 0] = pd.NA
@@ -244,5 +268,5 @@ def scored(docs: DataFrame, sweeps: int = 3, burn: int = 1, tokens: int = 2_000_
             out.append(pd.DataFrame({"doc_id": ids, "held_out": (flags & 1) > 0, "n_tokens": length, "n_known": sums[0], "train_tokens": n, "base_score": sums[1], "score": sums[2]}))
         return pd.concat(out) if out else pd.DataFrame({k: [] for k in ("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")})
 
-    places = sent.filter("kind = 1").select("chunk", "w", "n", "ctx", "cnt")
+    places = _messages(docs, buckets, tokens, 1)
     return places.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
