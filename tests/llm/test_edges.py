@@ -57,6 +57,18 @@ def test_mixing(spark, docs):
     assert {r.taken for r in mixing.mix(docs.filter("text is null")).collect()} == {0}
 
 
+def test_mixing_meets_targets_without_ids_and_with_equal_rows(spark):
+    rows = [(i, text(30 + i % 40, i), "a") for i in range(400)] + [(None, text(40 + i % 9, 1000 + i), "b") for i in range(400)] + [(7, "same words in every row of this one source", "c")] * 300 + [(None, None, None)] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = mixing.mix(df)
+    found = {r.source: (r.taken, r.target) for r in mixing.mixed(*[mixing._plan(df, (5, 2, 1), 1.5, 2.0, 5)[i] for i in (0, 2)]).groupBy("source").agg(F.sum(F.col("copies") * F.col("size")).alias("taken"), F.max("target").alias("target")).collect()}
+    assert all(abs(taken - target) <= 80 for taken, target in found.values()) and found["b"][0] > 0 and found["c"][0] > 0
+    want = sorted(map(str, out.collect()))
+    assert want == sorted(map(str, mixing.mix(df.repartition(5)).collect()))
+    docs = mixing.mixed_documents(df)
+    assert docs.columns == df.columns and docs.count() == sum(r.taken // r["size"] for r in out.collect() if r["size"])
+
+
 def test_packing(spark, docs):
     out = packing.packed(docs, tokenizer())
     assert out.filter("piece = 0").count() == docs.count()

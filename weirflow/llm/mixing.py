@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import WORD, staged
+from .common import WORD, numbered, staged
 
 BINS = 2048
 #: Utility of a document by its words: scraps weigh less than full documents.
@@ -42,18 +42,17 @@ def targets(slim: DataFrame, weights: tuple[float, ...], share: float, cap: floa
     """
     by = [F.sum(F.when(F.col("klass") == k, F.col("size")).otherwise(0)).cast("double").alias(f"s{k}") for k in range(3)]
     sums = slim.groupBy("source").agg(F.sum("size").alias("source_size"), *by)
-    sums.createOrReplaceTempView("_mix_sums")
     listed = ", ".join(str(float(w)) + "D" for w in weights)
     spark = slim.sparkSession
     # the level c solves sum(least(cap * size, c * weight)) = share * all: sources fill up in the order of cap * size / weight,
     # and of the levels that do not fill the source they start from, the largest counts the fewest as filled
     found = spark.sql(f"""
-      with w as (select *, array({listed})[cast((row_number() over (order by source nulls last) - 1) % {len(weights)} as int)] as weight from _mix_sums),
+      with w as (select *, array({listed})[cast((row_number() over (order by source nulls last) - 1) % {len(weights)} as int)] as weight from {{sums}}),
       r as (select *, {cap} * source_size / weight as fill, {share} * sum(source_size) over () as want from w),
       k as (select *, want - coalesce(sum({cap} * source_size) over (order by fill, source nulls last rows between unbounded preceding and 1 preceding), 0) as left_want,
               sum(weight) over (order by fill, source nulls last rows between current row and unbounded following) as left_weight from r),
       c as (select *, max(case when left_want / left_weight <= fill then left_want / left_weight end) over () as level from k)
-      select source, source_size, least({cap} * source_size, coalesce(level, {cap} * source_size) * weight) as target, s0, s1, s2 from c""")
+      select source, source_size, least({cap} * source_size, coalesce(level, {cap} * source_size) * weight) as target, s0, s1, s2 from c""", sums=sums)
     # the rate of copies of a document is least(cap, rate_c * utility), so that expected words meet the target
     return staged(found.selectExpr("source", "source_size", "cast(target as double) as target", f"cast({cap} as double) as cap", f"""case
         when source_size = 0 then 0D
@@ -64,7 +63,7 @@ def targets(slim: DataFrame, weights: tuple[float, ...], share: float, cap: floa
 
 
 def cuts(slim: DataFrame, sources: DataFrame) -> DataFrame:
-    """sources with the last rank that is taken (q_cut, id_cut; null: none or, with all_in, all).
+    """sources with the last rank that is taken (q_cut, g_cut).
 
     Ranks are first summed in bins; only the bin in which a source reaches its rest is put in order.
     """
@@ -72,38 +71,59 @@ def cuts(slim: DataFrame, sources: DataFrame) -> DataFrame:
     rest = rows.groupBy("source").agg((F.first("target") - F.sum(F.col("whole") * F.col("size"))).alias("rest"))
     ranked = rows.filter("q is not null").withColumn("bin", F.floor(F.col("q") / (1 + F.col("q")) * BINS))
     bins = ranked.groupBy("source", "bin").agg(F.sum("size").alias("words"))
-    bins.createOrReplaceTempView("_mix_bins")
-    staged(rest).createOrReplaceTempView("_mix_rest")
     reach = staged(slim.sparkSession.sql("""
-      with s as (select source, bin, words, sum(words) over (partition by source order by bin) as upto from _mix_bins)
+      with s as (select source, bin, words, sum(words) over (partition by source order by bin) as upto from {bins})
       select s.source, min(bin) filter (where upto > rest) as bin, coalesce(sum(words) filter (where upto <= rest), 0) as before, first(rest) as rest
-      from s join _mix_rest r on s.source <=> r.source group by s.source"""))
-    near = ranked.drop("rest").join(reach, ranked["source"].eqNullSafe(reach["source"]) & (ranked["bin"] == reach["bin"])).select(reach["source"], "q", "doc_id", "size", "before", "rest")
-    near.createOrReplaceTempView("_mix_near")
+      from s join {rest} r on s.source <=> r.source group by s.source""", bins=bins, rest=staged(rest)))
+    near = ranked.drop("rest").join(reach, ranked["source"].eqNullSafe(reach["source"]) & (ranked["bin"] == reach["bin"])).select(reach["source"], "q", "g", "size", "before", "rest")
     cut = staged(slim.sparkSession.sql("""
-      with t as (select *, before + sum(size) over (partition by source order by q, doc_id, size) - size / 2.0D as middle from _mix_near)
-      select source as c_source, max(struct(q, doc_id)) filter (where middle <= rest) as cut from t group by source"""))
+      with t as (select *, before + sum(size) over (partition by source order by q, g) - size / 2.0D as middle from {near})
+      select source as c_source, max(struct(q, g)) filter (where middle <= rest) as cut from t group by source""", near=near))
     joined = sources.join(reach.select(F.col("source").alias("r_source"), "bin", F.lit(True).alias("ranked")), F.expr("source <=> r_source"), "left").join(cut, F.expr("source <=> c_source"), "left")
     edge = F.col("bin").cast("double") / BINS
     return staged(joined.select(
         *sources.columns,
         # without a cut inside the bin, what lies in earlier bins is taken
         F.when(F.col("ranked") & F.col("bin").isNull(), F.lit(float("inf"))).when(F.col("cut").isNotNull(), F.col("cut.q")).otherwise(edge / (1 - edge)).alias("q_cut"),
-        F.col("cut.doc_id").alias("id_cut"),
+        F.col("cut.g").alias("g_cut"),
     ))
 
 
 def mixed(rows: DataFrame, cut: DataFrame) -> DataFrame:
-    """Every row of rows (source, doc_id, size, klass, u, ...) with its source's figures and ``copies``."""
+    """Every row of rows (source, size, klass, u, g, ...) with its source's figures and ``copies``."""
     cut = cut.withColumnRenamed("source", "_source")
     out = _drawn(rows.join(cut, F.col("source").eqNullSafe(F.col("_source"))))
-    extra = (F.col("q") < F.col("q_cut")) | ((F.col("q") == F.col("q_cut")) & (F.coalesce(F.col("doc_id"), F.lit(-(2**63))) <= F.coalesce(F.col("id_cut"), F.lit(-(2**63)))))
+    extra = (F.col("q") < F.col("q_cut")) | ((F.col("q") == F.col("q_cut")) & (F.col("g") <= F.coalesce(F.col("g_cut"), F.lit(2**63 - 1))))
     return out.withColumn("copies", F.col("whole") + F.coalesce(extra.cast("long"), F.lit(0)))
 
 
-def prepared(docs: DataFrame, seed: int, text: str = "text") -> DataFrame:
+def prepared(docs: DataFrame, text: str = "text") -> DataFrame:
+    """Adds size, klass and _k, which rows of one id, source and text share."""
     size = word_count(text)
-    return docs.withColumn("size", size).withColumn("klass", _class(F.col("size"))).withColumn("u", uniform(F.col("doc_id"), seed))
+    same = F.xxhash64("doc_id", F.col("doc_id").isNull(), "source", F.col("source").isNull(), text, F.col(text).isNull())
+    return docs.withColumn("size", size).withColumn("klass", _class(F.col("size"))).withColumn("_k", same)
+
+
+def drawn(rows: DataFrame, repeated: DataFrame, seed: int) -> DataFrame:
+    """Adds u and g, a random number and a rank for ties, from _k and the row's number among the rows that share it.
+
+    ``repeated`` has the _k that more than one row has; only those rows are numbered, over as many tasks as it takes.
+    """
+    alone = rows.join(repeated, "_k", "left_anti").withColumn("_i", F.lit(0).cast("long"))
+    many = staged(rows.join(repeated, "_k", "left_semi").withColumn("_tie", F.monotonically_increasing_id()))
+    many = staged(numbered(many, "_k", "_tie").drop("_total", "_tie"))
+    first = many.groupBy("_k").agg(F.min("_row").alias("_first"))
+    many = many.join(first, "_k").withColumn("_i", F.col("_row") - F.col("_first")).drop("_row", "_first")
+    out = alone.unionByName(many).withColumn("g", F.xxhash64("_k", "_i"))
+    return out.withColumn("u", uniform(F.concat_ws(":", "_k", "_i"), seed)).drop("_k", "_i")
+
+
+def _plan(docs: DataFrame, weights: tuple[float, ...], share: float, cap: float, seed: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The slim rows, the keys of repeated rows, and the cut of each source."""
+    slim = staged(prepared(docs.select("doc_id", "source", "text")).select("doc_id", "source", "size", "klass", "_k"))
+    repeated = staged(slim.groupBy("_k").count().filter("count > 1").select("_k"))
+    slim = staged(drawn(slim, repeated, seed))
+    return slim, repeated, cuts(slim, targets(slim, weights, share, cap))
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, seed: int = 5) -> DataFrame:
@@ -112,19 +132,18 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     Each document first gets its certain whole copies; the fraction left over is its inclusion probability. Within
     a source the documents are ranked by random odds over inclusion odds, and the smallest ranks are taken until
     their words fill what the certain copies left of the target: the last one is taken if that comes nearer.
-    Null texts have size 0 and are never taken; a null source is a source of its own; rows with equal doc_id, source and
-    text stand or fall together; an empty table gives an empty result.
+    Null texts have size 0 and are never taken; a null source is a source of its own. Rows of one id (a null one too), source
+    and text are drawn each by itself, so any number of them meets the target; as they are alike, reruns agree on how many
+    are taken. An empty table gives an empty result; other columns are not read.
     """
-    slim = staged(prepared(docs.select("doc_id", "source", "text"), seed).select("doc_id", "source", "size", "klass", "u"))
-    cut = cuts(slim, targets(slim, weights, share, cap))
+    slim, _, cut = _plan(docs, weights, share, cap, seed)
     return mixed(slim, cut).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, seed: int = 5) -> DataFrame:
     """The documents that the mix takes, each as often as it is taken, with the columns of ``docs``."""
     columns = docs.columns
-    slim = staged(prepared(docs.select("doc_id", "source", "text"), seed).select("doc_id", "source", "size", "klass", "u"))
-    cut = cuts(slim, targets(slim, weights, share, cap))
+    _, repeated, cut = _plan(docs, weights, share, cap, seed)
     kept = docs.select(*[F.col(c).alias(f"d{i}") for i, c in enumerate(columns)], F.col("source"), F.col("doc_id"), F.col("text"))
-    out = mixed(prepared(kept, seed).drop("text"), cut).filter("copies > 0")
+    out = mixed(drawn(prepared(kept).drop("text", "doc_id"), repeated, seed), cut).filter("copies > 0")
     return out.select(*[F.col(f"d{i}").alias(c) for i, c in enumerate(columns)], F.explode(F.expr("sequence(1L, copies)")).alias("_copy")).drop("_copy")
