@@ -177,9 +177,18 @@ def test_probminhash_estimates_the_similarity():
     assert (alone[0] == sig[1]).all()
 
 
-def test_shingles_that_agree_in_32_bits_are_one():
-    a = (np.array([1, 2, 3], np.uint32), np.ones(3))
-    assert near_dedup.similarity(a, a) == pytest.approx(1)
+def test_different_texts_of_one_id_stay(spark):
+    import random
+
+    def text(n, seed):
+        r = random.Random(seed)
+        return ' '.join(r.choice(['alpha', 'beta', 'gamma', 'delta']) + str(r.randrange(500)) for _ in range(n))
+
+    rows = [(1, text(60, 1), 0), (1, text(60, 2), 1), (1, text(60, 2), 2), (2, text(60, 2), 3), (3, text(60, 3), 4), (3, text(60, 1), 5), (3, text(60, 3), 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n int")
+    kept = near_dedup.deduplicated(df).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == sorted({(1, text(60, 1)), (1, text(60, 2)), (3, text(60, 3))})
+    assert sorted((r.doc_id, r.class_id, r.kept) for r in near_dedup.classes(df).collect()) == [(1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (3, 3, True)]
 
 
 def test_components_of_long_chains_and_hubs(spark):

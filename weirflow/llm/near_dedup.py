@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import components, mix, runs, staged, words
 
@@ -109,35 +109,41 @@ def signatures(docs: DataFrame) -> DataFrame:
                 low = sig.astype("<u2")
                 yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "h": part["h"].to_numpy(), "g": part["g"].to_numpy(), "bands": [b if f else None for b, f in zip(bands, full)], "sig": [s.tobytes() if f else None for s, f in zip(low, full)]})
 
-    # a null text equals nothing but the same row
-    hashes = [F.when(F.col("text").isNotNull(), F.xxhash64(F.lit(i), "text")).otherwise(F.xxhash64(F.lit(i + 2), "doc_id")).alias(n) for i, n in enumerate("hg")]
-    read = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", *hashes)
-    return read.mapInPandas(run, "doc_id long, h long, g long, bands array<long>, sig binary")
+    return _keyed(docs).select("doc_id", "text", "h", "g").mapInPandas(run, "doc_id long, h long, g long, bands array<long>, sig binary")
+
+
+def _hashes() -> list[Column]:
+    return [F.when(F.col("text").isNotNull(), F.xxhash64(F.lit(i), "text")).otherwise(F.xxhash64(F.lit(i + 2), F.col("doc_id").cast("long"))) for i in range(2)]
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text, h and g (two hashes of the text) of the rows with a doc_id. A null text equals nothing but one of the same id."""
+    hashes = [h.alias(n) for n, h in zip("hg", _hashes())]
+    return docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", *hashes)
 
 
 def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """id, hashes and times of the shingles of the documents in ids."""
+    """id (the node of ids), hashes (48 bits each) and times of the shingles of the texts in ids (doc_id, h, g, node)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for p, q in runs(batch["text"].tolist()):
                 part = batch.iloc[p:q]
                 doc, element, times = shingles(part["text"].tolist())
-                # the upper 32 bits of each hash keep the order; shingles of a text that agree in them are one
-                low = (element >> np.uint64(16)).astype("<u4")
-                first = np.flatnonzero((np.diff(doc, prepend=-1) != 0) | (np.diff(low.astype(np.int64), prepend=-1) != 0))
-                times = np.add.reduceat(times, first) if len(first) else times
-                doc, low = doc[first], low[first]
                 cuts = np.searchsorted(doc, np.arange(len(part) + 1))
-                rows = [(low[a:b].tobytes(), times[a:b].astype("<u4").tobytes() if (times[a:b] > 1).any() else b"") for a, b in zip(cuts, cuts[1:])]
-                yield pd.DataFrame({"id": part["doc_id"].to_numpy(), "hashes": [r[0] for r in rows], "times": [r[1] for r in rows]})
+                six = np.ascontiguousarray(element.astype("<u8").view("u1").reshape(-1, 8)[:, :6])
+                rows = [(six[a:b].tobytes(), times[a:b].astype("<u4").tobytes() if (times[a:b] > 1).any() else b"") for a, b in zip(cuts, cuts[1:])]
+                yield pd.DataFrame({"id": part["node"].to_numpy(), "hashes": [r[0] for r in rows], "times": [r[1] for r in rows]})
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
+    texts = _keyed(docs).join(ids.select("doc_id", "h", "g", "node"), ["doc_id", "h", "g"]).select("node", "text")
     return texts.mapInPandas(run, "id long, hashes binary, times binary")
 
 
 def _load(hashes: bytes, times: bytes) -> tuple[np.ndarray, np.ndarray]:
-    h = np.frombuffer(hashes, "<u4")
+    six = np.frombuffer(hashes, "u1").reshape(-1, 6)
+    h = np.zeros((len(six), 8), "u1")
+    h[:, :6] = six
+    h = h.view("<u8").ravel()
     return h, weight(np.frombuffer(times, "<u4")) if times else np.ones(len(h))
 
 
@@ -184,28 +190,20 @@ def _joining(least: float):
     return run
 
 
-def classes(docs: DataFrame, least: float = 0.8, tile: int = 512) -> DataFrame:
-    """doc_id, class_id, kept for every row with a doc_id; class_id: the smallest doc_id reachable over links.
-
-    Links: equal texts, and probability Jaccard similarity of weighted five-word shingles of ``least`` or more.
-    Equal texts are one class at once. In each band's bucket every document is verified against the one that
-    shares most buckets with others, so that the text from which a group was copied finds all its copies. Documents of a
-    bucket that are then still in different components are compared by signature, tile by tile, and verified if near.
-    No bucket is dropped or cut. Null texts and texts without words link with nothing but equal texts that are not
-    null; a null doc_id takes no part and is left out; rows with the same doc_id count as one document, with the
-    candidates of all its texts and the content of any one; an empty table gives an empty result; other columns are
-    not read.
-    """
-    made = staged(signatures(docs))
-    same = staged(made.groupBy("h", "g").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).filter("n > 1"))
-    copies = made.select("doc_id", "h", "g").join(same, ["h", "g"]).select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).filter("a != b")
-    copies = staged(copies)
-    ones = made.filter("bands is not null").select("doc_id", "h", "g", "bands").join(copies.select(F.col("b").alias("doc_id")), "doc_id", "left_anti")
-    rows = staged(ones.select(F.col("doc_id").alias("doc"), F.posexplode("bands").alias("band", "key")))
+def _classes(docs: DataFrame, least: float, tile: int) -> tuple[DataFrame, DataFrame]:
+    """doc_id, h, g, class_id, kept of every different row; and the keys of rows that are there more than once."""
+    # a row's place when it was written names it from here on
+    made = staged(signatures(docs).withColumn("node", F.monotonically_increasing_id()))
+    first = F.min(F.struct("doc_id", "node")).alias("rep")
+    same = staged(made.groupBy("h", "g").agg(first, F.count("*").alias("n")).filter("n > 1").select("h", "g", F.col("rep.node").alias("rep")))
+    copies = staged(made.select("node", "h", "g").join(same, ["h", "g"]).select(F.col("rep").alias("a"), F.col("node").alias("b")).filter("a != b"))
+    ones = made.filter("bands is not null").select("node", "bands").join(copies.select(F.col("b").alias("node")), "node", "left_anti")
+    rows = staged(ones.select(F.col("node").alias("doc"), F.posexplode("bands").alias("band", "key")))
     shared = staged(rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"))
     members = staged(rows.join(shared, "key"))
     degree = staged(members.groupBy("doc").agg(F.sum("n").alias("degree")))
-    sets = staged(_sets(docs, degree.select(F.col("doc").alias("id"))).dropDuplicates(["id"]))
+    ids = made.select("doc_id", "h", "g", "node").join(degree.select(F.col("doc").alias("node")), "node", "left_semi")
+    sets = staged(_sets(docs, ids).dropDuplicates(["id"]))
     hubs = staged(members.join(degree, "doc").groupBy("key").agg((-F.max(F.struct("degree", -F.col("doc"))).getField("col2")).alias("hub")))
     pairs = staged(members.join(hubs, "key").filter("doc != hub").select(F.col("hub").alias("a"), F.col("doc").alias("b")).distinct())
     links = staged(verified(pairs, sets, least))
@@ -215,19 +213,45 @@ def classes(docs: DataFrame, least: float = 0.8, tile: int = 512) -> DataFrame:
     apart = staged(rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.ceil(F.count("*") / tile).cast("int").alias("n")).filter("x != y").select("key", "n"))
     i = F.pmod(F.xxhash64("doc"), F.col("n")).cast("int")
     both = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda j: F.struct(F.least("i", j).alias("x"), F.greatest("i", j).alias("y"), F.when(j == F.col("i"), 0).when(F.col("i") < j, 1).otherwise(2).alias("side")))
-    content = made.select(F.col("doc_id").alias("doc"), "sig").dropDuplicates(["doc"]).join(sets.withColumnRenamed("id", "doc"), "doc")
+    content = made.select(F.col("node").alias("doc"), "sig").join(sets.withColumnRenamed("id", "doc"), "doc")
     held = rooted.join(apart, "key").join(content, "doc").withColumn("i", i).withColumn("t", F.explode(both))
     held = held.select("key", "band", "doc", "root", "sig", "hashes", "times", "t.x", "t.y", "t.side")
     more = staged(held.groupBy("key", "x", "y").applyInPandas(_joining(least), "a long, b long").distinct())
     if more.head(1):
         roots = staged(components(links.union(copies).union(more)))
-    out = made.select("doc_id").distinct().join(roots, F.col("doc_id") == F.col("node"), "left")
-    return out.select("doc_id", F.coalesce("root", "doc_id").alias("class_id")).withColumn("kept", F.col("doc_id") == F.col("class_id"))
+    slim = made.select("node", "doc_id", "h", "g")
+    named = staged(slim.join(roots, "node"))
+    stays = named.groupBy("root").agg(F.min(F.struct("doc_id", "h", "g")).alias("stays"))
+    # rows that are in no class with others stand for themselves
+    joined = named.join(stays, "root").select("doc_id", "h", "g", F.col("stays.doc_id").alias("class_id"), (F.struct("doc_id", "h", "g") == F.col("stays")).alias("kept"))
+    alone = slim.join(roots.select("node"), "node", "left_anti").select("doc_id", "h", "g", F.col("doc_id").alias("class_id"), F.lit(True).alias("kept"))
+    again = staged(named.groupBy("doc_id", "h", "g").count().filter("count > 1").drop("count"))
+    return joined.distinct().unionByName(alone), again
 
 
-def deduplicated(docs: DataFrame, least: float = 0.8) -> DataFrame:
-    """The documents that their class keeps, with all columns; rows without a doc_id stay. Of rows with the same doc_id one stays."""
-    found = staged(classes(docs, least).filter("not kept").select("doc_id"))
-    kept = docs.join(found, docs["doc_id"].cast("long") == found["doc_id"], "left_anti")
-    named = kept.filter("doc_id is not null").dropDuplicates(["doc_id"])
-    return named.unionByName(kept.filter("doc_id is null"))
+def classes(docs: DataFrame, least: float = 0.8, tile: int = 512) -> DataFrame:
+    """doc_id, class_id, kept for every document; class_id: the smallest doc_id reachable over links.
+
+    Links: equal texts, and probability Jaccard similarity of weighted five-word shingles of ``least`` or more.
+    Equal texts are one class at once. In each band's bucket every document is verified against the one that
+    shares most buckets with others, so that the text from which a group was copied finds all its copies. Documents of a
+    bucket that are then still in different components are compared by signature, tile by tile, and verified if near.
+    No bucket is dropped or cut. Null texts and texts without words link with nothing but equal texts that are not
+    null; a null doc_id takes no part and is left out. Rows of one doc_id and text are one document and come out once; different
+    texts under one doc_id are documents each. Of each class one document is kept. An empty table gives an empty
+    result; other columns are not read.
+    """
+    return _classes(docs, least, tile)[0].select("doc_id", "class_id", "kept")
+
+
+def deduplicated(docs: DataFrame, least: float = 0.8, tile: int = 512) -> DataFrame:
+    """One document of each class, with all columns; rows without a doc_id stay. Different texts under one doc_id are not copies."""
+    found, again = _classes(docs, least, tile)
+    gone = staged(found.filter("not kept").select("doc_id", "h", "g"))
+    columns = docs.columns
+    hashes = [h.alias(f"_key{i + 1}") for i, h in enumerate(_hashes())]
+    keys = ["_key0", "_key1", "_key2"]
+    rows = docs.filter("doc_id is not null").select(*[F.col(c) for c in columns], F.col("doc_id").cast("long").alias("_key0"), *hashes)
+    gone, again = gone.toDF(*keys), again.toDF(*keys)
+    once = rows.join(again, keys, "left_anti").unionByName(rows.join(again, keys, "left_semi").dropDuplicates(keys))
+    return once.join(gone, keys, "left_anti").select(*columns).unionByName(docs.filter("doc_id is null"))
