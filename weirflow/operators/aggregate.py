@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..model import BUCKETS, VALUE, canonical
+from ..plans.order import staged
 
 MODES = ("auto", "sum", "latest", "count", "diff", "max", "min", "mean", "stdev")
 SERIES = ("namespace", "name", "_tags")
@@ -95,11 +96,24 @@ def aggregate(metrics: DataFrame, interval_ms: int = 10_000, mode: str = "auto",
     elif mode not in ("auto", "count"):
         rows, passed = df.filter("kind = 'absolute'"), df.filter("kind = 'incremental'")
     if mode in ("auto", "sum"):
-        now = _current(rows, order)
+        # one pass settles every window and series of one kind whose values add up or replace each other
+        each = rows.groupBy(*by, "kind", "_type").agg(F.sum("value.value").alias("_sum"), F.max("ts").alias("_ts"), F.max_by(F.struct("ts", "kind", "value", "tags"), F.struct(*order)).alias("_m"))
+        each = staged(each.withColumn("_kinds", F.count("*").over(Window.partitionBy(*by))))
+        adds = (F.col("kind") == "incremental") & F.col("_type").isin("counter", "gauge")
+        simple = (F.col("_kinds") == 1) & (adds | (F.col("kind") == "absolute") | (F.col("_type") == "summary"))
+        settled = each.filter(simple).select(*by, F.when(adds, F.col("_ts")).otherwise(F.col("_m.ts")).alias("ts"), F.col("_m.tags").alias("tags"), "kind", F.when(adds, F.col("_m.value").withField("value", F.col("_sum"))).otherwise(F.col("_m.value")).alias("value"))
+        settled = _shaped(settled, interval_ms)
+        left = each.filter(~simple).select(*[F.col(c).alias(f"l{c}") for c in by]).distinct()
+        if not left.head(1):
+            return settled if passed is None else settled.unionByName(_passed(passed))
+        same = F.lit(True)
+        for c in by:
+            same = same & F.col(c).eqNullSafe(F.col(f"l{c}"))
+        now = _current(staged(rows.join(left, same, "left_semi")), order)
         out = summed(now.filter("kind = 'incremental'"), [*by, "kind", "_type"])
         # summaries cannot be added: the last one stays
         last = _latest(now.filter("kind = 'absolute' or _type = 'summary'"), by, order).select(*by, "_m.*")
-        out = _shaped(out.filter("_type != 'summary'").unionByName(last.withColumn("_type", F.col("value.type")).select(*out.columns)), interval_ms)
+        out = _shaped(out.filter("_type != 'summary'").unionByName(last.withColumn("_type", F.col("value.type")).select(*out.columns)), interval_ms).unionByName(settled)
     elif mode == "latest":
         out = _shaped(_latest(rows, by, order).select(*by, "_m.*"), interval_ms)
     elif mode == "count":
@@ -130,10 +144,14 @@ def aggregate(metrics: DataFrame, interval_ms: int = 10_000, mode: str = "auto",
         found = gauges.groupBy(*by).agg(F.max("ts").alias("ts"), F.first("tags").alias("tags"), f("value.value").alias("_v"))
         out = _shaped(found.withColumn("kind", F.lit("absolute")).withColumn("value", _as("gauge", F.col("_v"))), interval_ms)
     if passed is not None:
-        out = out.unionByName(passed.select(F.lit(None).cast("timestamp").alias("window_start"), "ts", "namespace", "name", "tags", "kind", "interval_ms", "value"))
+        out = out.unionByName(_passed(passed))
     return out
 
 
+def _passed(rows: DataFrame) -> DataFrame:
+    return rows.select(F.lit(None).cast("timestamp").alias("window_start"), "ts", "namespace", "name", "tags", "kind", "interval_ms", "value")
+
+
 def _as(type: str, value: Column) -> Column:
     from ..model import value_of
 

@@ -261,3 +261,18 @@ def codec_frames(spark, d):
     packed = lines.groupBy(F.pmod(F.xxhash64("value"), F.lit(50))).agg(F.array_join(F.collect_list("value"), "\n").alias("value")).select("value")
     out = codecs.split_frames(packed)
     return out.select(F.split(F.col("value").cast("string"), " ")[0].cast("bigint").alias("event_id"), F.split(F.col("value").cast("string"), " ")[1].alias("event_type"))
+
+
+# ---- known answers: the functions that SQL lacks, by documented values ----
+
+programs("fn_known", "events", "event_id", {
+    "crc": ('crc("foo")', "'2356372769'"), "xx": ('xxhash("foo")', "3792637401"), "sha3": ('sha3("foo", variant: "SHA3-256")', "'76d3bc41c9f588f7fcd0d5bf4718f8f84b1c41b20882703100b9eb9413807c01'"),
+    "mac": ('encode_base64(hmac("Hello there", "super-secret-key"))', "'eLGE8YMviv85NPXgISRUZxstBNSU47JQdcXkUWcClmI='"),
+    "flow": ('community_id!(source_ip: "1.2.3.4", destination_ip: "5.6.7.8", source_port: 1122, destination_port: 3344, protocol: 6)', "'1:wCb3OG7yAFWelaUydu0D+125CLM='"),
+    "sea": ('seahash("foobar")', "5348458858952426560"),
+})
+
+programs("fn_search", "events", "event_id", {
+    "found": ('match_search_query({"message": .event_type}, "view OR error")', "event_type in ('view', 'error')"),
+    "secret": ('get_secret("k")', "event_type"),
+}, prelude='set_secret("k", string!(.event_type))')

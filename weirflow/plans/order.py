@@ -30,12 +30,28 @@ def staged(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of one key that a window may hold in one task.
+HOT = 1_000_000
+
+
 def row_numbers(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "_n") -> DataFrame:
     """``df`` with its row number (from 1) in ``order`` within ``keys``.
 
-    With keys this is a window. Without, one window would be one task, so the rows are range-partitioned, sorted in
-    place and staged, and each partition's rows are counted on from the rows before it.
+    With keys of HOT rows at most this is a window. Else a window would put all rows, or all of a key, in one task, so the rows are
+    range-partitioned, sorted in place and staged, and each partition's rows are counted on from the rows before it.
     """
+    if keys and (df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0) > HOT:
+        ranged = [*keys, *order]
+        dealt = staged(df.repartitionByRange(*ranged).sortWithinPartitions(*ranged).withColumn("_at", F.monotonically_increasing_id())).withColumn("_part", F.shiftright("_at", 33))
+        begun = staged(dealt.groupBy(*keys, "_part").agg(F.min("_at").alias("_first"), F.count("*").alias("_c")))
+        # a row for each key and partition that holds some of it; a hot key's partitions are few rows
+        before = F.coalesce(F.sum("_c").over(Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        begun = begun.withColumn("_before", before).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_part").alias("_p"), "_first", "_before")
+        same = F.col("_part") == F.col("_p")
+        for i, k in enumerate(keys):
+            same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+        out = dealt.join(begun, same)
+        return out.withColumn(name, F.col("_before") + F.col("_at") - F.col("_first") + 1).select(*df.columns, name)
     if keys:
         return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long"))
     dealt = staged(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))

@@ -258,6 +258,15 @@ def sample_key(spark, d):
     return state.sample(events(spark, d), rate=4, order=ORDER, key_field="user_id").select("event_id", "user_id")
 
 
+@query("select user_id, count(*) as n, true as whole from events group by user_id")
+def sample_key_law(spark, d):
+    """All rows of a key share a fate; SQL has no such hash, so the law is held, not the members."""
+    e = events(spark, d)
+    kept = state.sample(e, rate=4, order=ORDER, key_field="user_id").groupBy("user_id").agg(F.count("*").alias("k"))
+    all_ = e.groupBy("user_id").agg(F.count("*").alias("n")).join(kept, "user_id", "left")
+    return all_.select("user_id", "n", (F.coalesce("k", F.lit(0)).isin(0) | (F.col("k") == F.col("n"))).alias("whole"))
+
+
 @query("select event_id from (select event_id, row_number() over (partition by user_id, event_type order by ts, event_id) as n from events) where n = 1")
 def dedupe_match(spark, d):
     return state.dedupe(events(spark, d), ORDER, match=["user_id", "event_type"]).select("event_id")
@@ -323,7 +332,8 @@ def cardinality_drop_tag(spark, d):
     return out.select("event_id", F.get(F.try_element_at("tags", F.lit("user")), 0).alias("user"))
 
 
-@query()
+@query("""with f as (select event_type, user_id, min((ts, event_id)) as first from events group by all), r as (select *, row_number() over (partition by event_type order by first) as k from f)
+ select event_id, event_type as name from events join r using (event_type, user_id) where k <= 40""")
 def cardinality_drop_event(spark, d):
     return state.cardinality_limit_events(counters(spark, d), 40, ORDER, ["name"]).select("event_id", "name")
 
@@ -495,7 +505,9 @@ def histogram_buckets(spark, d):
     return stats.histogram_buckets(table(spark, d, "lineitem"), ["l_returnflag"], "l_quantity", [5, 25])
 
 
-@query()
+@query("""with q as (select l_returnflag, count(*) as count, min(l_extendedprice) as lo, max(l_extendedprice) as hi, list_sort(list(l_extendedprice)) as xs from lineitem group by all),
+ m as (select *, xs[floor(0.5 * (count - 1))::bigint + 1] as a, xs[floor(0.99 * (count - 1))::bigint + 1] as b, 1.01 / 0.99::double as g from q)
+ select l_returnflag, count, round(least(hi, greatest(lo, power(g, ceil(ln(a) / ln(g))) * 2 / (g + 1))), 4) as p50, round(least(hi, greatest(lo, power(g, ceil(ln(b) / ln(g))) * 2 / (g + 1))), 4) as p99 from m""")
 def sketch_quantiles(spark, d):
     s = stats.sketched(table(spark, d, "lineitem"), ["l_returnflag"], "l_extendedprice")
     return s.select("l_returnflag", "count", F.round(stats.sketch_quantile(0.5), 4).alias("p50"), F.round(stats.sketch_quantile(0.99), 4).alias("p99"))
@@ -535,7 +547,9 @@ def multiline_conversations(spark, d):
     return multiline.join_from_starts(c.withColumnRenamed("text", "message"), F.col("role") == "user", ["turn"], ["conv_id"])
 
 
-@query()
+@query("""with m as (select *, sum((role <> 'assistant')::int) over (partition by conv_id order by turn) as k from conversations),
+ f as (select *, first_value(role) over (partition by conv_id, k order by turn) as begun from m)
+ select conv_id, min(turn) as turn, count(*)::int as lines, md5(string_agg(role || ': ' || text, chr(10) order by turn)) as digest from f group by conv_id, case when begun = 'user' then k::varchar else k || ':' || turn end""")
 def multiline_fold(spark, d):
     c = table(spark, d, "conversations").select("conv_id", "turn", F.concat("role", F.lit(": "), "text").alias("message"))
     return multiline.join_lines(c, "^user", "^assistant", "continue_through", ["turn"], ["conv_id"]).select("conv_id", "turn", "lines", F.md5("message").alias("digest"))
