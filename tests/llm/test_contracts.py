@@ -24,7 +24,7 @@ def docs(data):
 
 
 @pytest.fixture(scope="module")
-def vectors(data):
+def points(data):
     rows = duckdb.sql(f"select vec_id, embedding from '{data}/embeddings.parquet'").fetchall()
     return np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float)
 
@@ -125,8 +125,8 @@ def test_op2_hosts_shrink_towards_their_domain(spark):
     assert out[100] == "block" and out[101] == "allow" and out[200] == "allow"
 
 
-def test_op3_neighbours(spark, data, vectors):
-    ids, x = vectors
+def test_op3_neighbours(spark, data, points):
+    ids, x = points
     unit = x / np.linalg.norm(x, axis=1)[:, None]
     got = defaultdict(list)
     for r in q.op3_neighbours(spark, data).orderBy("query_id", "rank").collect():
@@ -227,8 +227,8 @@ def test_op5_mixing(spark, data, docs):
     assert sorted(map(str, rows)) == sorted(map(str, q.op5_mixing(spark, data).collect()))
 
 
-def test_op6_embedding_dedup(spark, data, vectors):
-    ids, x = vectors
+def test_op6_embedding_dedup(spark, data, points):
+    ids, x = points
     unit = x / np.linalg.norm(x, axis=1)[:, None]
     links = unit @ unit.T >= 0.95
     np.fill_diagonal(links, False)

@@ -105,24 +105,24 @@ def test_url_filter(spark):
 
 
 @pytest.fixture(scope="module")
-def vectors(spark):
+def points(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (50, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, None), (4, [0.0, 0.0]), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [None, 1.0]), (8, []), (None, [1.0, 0.0]), (100, [1.0, 2.0, 3.0]), (9, [1.0, 2.0, 3.1]), (50, [0.6, 0.8]), (150, [1e-30, 1e-30]), (10, [3e30, 3e30])]
     return spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({c: F.lit("clash") for c in CLASHING})
 
 
-def test_neighbours(spark, vectors):
-    out = neighbours.nearest(vectors, F.col("vec_id") % 50 == 0, 5)
+def test_neighbours(spark, points):
+    out = neighbours.nearest(points, F.col("vec_id") % 50 == 0, 5)
     hits = {}
     for r in out.orderBy("query_id", "rank").collect():
         hits.setdefault(r.query_id, []).append((r.rank, r.vec_id))
     assert hits[0][:2] == [(1, 1), (2, 50)] and hits[100] == [(1, 9)] and 0 not in [v for _, v in hits[0]] and {3, 4, 5, 6, 7, 8}.isdisjoint(v for h in hits.values() for _, v in h)
-    assert neighbours.nearest(vectors.limit(0), F.col("vec_id") % 50 == 0, 5).count() == 0
+    assert neighbours.nearest(points.limit(0), F.col("vec_id") % 50 == 0, 5).count() == 0
 
 
-def test_embedding_dedup(spark, vectors):
-    out = embedding_dedup.linked(vectors)
+def test_embedding_dedup(spark, points):
+    out = embedding_dedup.linked(points)
     found = sorted((-1 if r.vec_id is None else r.vec_id, r.n_links, r.component_id) for r in out.collect())
-    assert out.count() == vectors.count()
+    assert out.count() == points.count()
     assert (3, 0, 3) in found and (8, 0, 8) in found and (-1, 0, None) in found and (0, 2, 0) in found and (1, 2, 0) in found and (9, 1, 9) in found and (100, 1, 9) in found and (10, 2, 10) in found
-    assert embedding_dedup.linked(vectors.limit(0)).count() == 0
+    assert embedding_dedup.linked(points.limit(0)).count() == 0

@@ -28,10 +28,25 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
+_OWNED: set[str] = set()
+
+
+def own_dir(spark: SparkSession) -> str:
+    """This application's part of the shared folder; it is deleted when the driver ends."""
+    path = f"{shared_dir(spark)}/weirflow-{spark.sparkContext.applicationId}"
+    if path not in _OWNED:
+        _OWNED.add(path)
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+        system.mkdirs(folder)
+        system.deleteOnExit(folder)
+    return path
+
+
 def staged(df: DataFrame, *parts: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there, nothing is computed twice."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/weirflow-{uuid.uuid4().hex}"
+    path = f"{own_dir(spark)}/{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*parts) if parts else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -52,13 +67,13 @@ def numbered(df: DataFrame, *order: str) -> DataFrame:
 
 
 def sound(v: Column) -> Column:
-    """Whether a vector can be compared: not null, no null component, all finite, not zero."""
+    """Whether a point can be compared: not null, no null component, all finite, not zero."""
     return F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
-def usable(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """vec_id and embedding of the rows with a key whose vector is sound."""
-    return vectors.filter(F.col(key).isNotNull() & sound(F.col(vector))).select(F.col(key).cast("long").alias("vec_id"), F.col(vector).alias("embedding"))
+def usable(points: DataFrame, key: str = "vec_id", point: str = "embedding") -> DataFrame:
+    """vec_id and embedding of the rows with a key whose point is sound."""
+    return points.filter(F.col(key).isNotNull() & sound(F.col(point))).select(F.col(key).cast("long").alias("vec_id"), F.col(point).alias("embedding"))
 
 
 def as_matrix(column) -> np.ndarray:

@@ -15,20 +15,20 @@ from .common import components, sound, staged, usable
 BITS = 63
 #: Rows of a block: a window reaches back to the start of the block before. Rows that are bounded together; of a tile; of a task of small components.
 BLOCK, CHUNK, TILE, TASK = 1024, 512, 2048, 8192
-#: The share of pairs at the least similarity that no pass need bring together, of vectors spread evenly.
+#: The share of pairs at the least similarity that no pass need bring together, of points spread evenly.
 MISSED = 0.001
 
 
 def passes(classes: int, least: float) -> int:
     """How many orders it takes: a pair agrees in a hash with one less its angle over pi, and meets if it agrees in as many
-    hashes as there are blocks to tell apart. More for more vectors."""
+    hashes as there are blocks to tell apart. More for more points."""
     apart = math.log2(max(1.0, classes / BLOCK))
     meets = (1 - math.acos(min(1.0, least)) / math.pi) ** apart
     return 1 if meets == 1 else math.ceil(math.log(MISSED) / math.log(1 - meets))
 
 
 def _compact(classes: DataFrame, kind: str) -> DataFrame:
-    """The vectors as bytes."""
+    """The points as bytes."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -39,15 +39,15 @@ def _compact(classes: DataFrame, kind: str) -> DataFrame:
 
 
 def _unit(x: list[bytes], kind: str, dim: int) -> np.ndarray:
-    """Rows of one length as unit vectors in double precision."""
+    """Rows of one length as unit points in double precision."""
     m = np.frombuffer(b"".join(x), kind).reshape(-1, dim).astype(np.float64)
     m = m / np.abs(m).max(1)[:, None]
     return m / np.sqrt((m * m).sum(1))[:, None]
 
 
 def _coded(classes: DataFrame, kind: str, orders: int, seed: int) -> DataFrame:
-    """A row for each vector and order: the signs of random projections, concatenated to one number that sorts
-    lexicographically, and the unit vector in half precision."""
+    """A row for each point and order: the signs of random projections, concatenated to one number that sorts
+    lexicographically, and the unit point in half precision."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -88,7 +88,7 @@ def _span(parent: np.ndarray, i: np.ndarray, j: np.ndarray) -> list[tuple[int, i
 
 def _near(x: np.ndarray, y: np.ndarray | None, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs of rows (of x alone, or of x and y) in half precision that link or may link, and which of them surely do."""
-    # a component is off by 2**-11 of itself at most, so each vector by that, and the product by twice that
+    # a component is off by 2**-11 of itself at most, so each point by that, and the product by twice that
     slack = 2.1 * 2.0**-11 + (x.shape[1] + 8) * 2.0**-23
     s = x @ (x if y is None else y).T
     i, j = np.nonzero(s >= least - slack)
@@ -326,21 +326,21 @@ def _counted(classes: DataFrame, roots: DataFrame, kind: str, least: float) -> D
     return staged(out.unionByName(decided).unionByName(compared).groupBy("rep").agg(F.sum("links").alias("links")))
 
 
-def linked(vectors: DataFrame, least: float = 0.95, seed: int = 6) -> DataFrame:
+def linked(points: DataFrame, least: float = 0.95, seed: int = 6) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row.
 
-    Equal vectors are one class. In each of several orders the classes are sorted by the signs of random projections,
+    Equal points are one class. In each of several orders the classes are sorted by the signs of random projections,
     concatenated, and every block of neighbours is compared with itself and the block before it, across partitions as well. Sure links
     are found in half precision, within a bound of its error; what lies that near to ``least`` is verified in double precision. The
     union of all orders gives the components. Then the links inside each component are counted, all of them, in double precision where
     a bound doesn't decide. A component is lost in part only if no order brings a link of it into a window: at ``least`` one
-    pair in a thousand of evenly spread vectors (MISSED), and ever fewer above; the number of orders grows with the classes.
-    Rows whose vector is null, zero or not finite link with nothing: no links, a component of their own, kept. So do null
-    ids, whose component is null. Vectors link only with those of their own length. Repeated ids are rows of their own; an
+    pair in a thousand of evenly spread points (MISSED), and ever fewer above; the number of orders grows with the classes.
+    Rows whose point is null, zero or not finite link with nothing: no links, a component of their own, kept. So do null
+    ids, whose component is null. Points link only with those of their own length. Repeated ids are rows of their own; an
     empty table gives an empty result.
     """
-    rows = usable(vectors).withColumns({"h": F.xxhash64("embedding"), "g": F.xxhash64(F.lit(1), "embedding")})
-    kind = "<f4" if "float" in vectors.schema["embedding"].dataType.simpleString() else "<f8"
+    rows = usable(points).withColumns({"h": F.xxhash64("embedding"), "g": F.xxhash64(F.lit(1), "embedding")})
+    kind = "<f4" if "float" in points.schema["embedding"].dataType.simpleString() else "<f8"
     distinct = rows.groupBy("h", "g").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("embedding").alias("embedding"))
     classes = staged(_compact(distinct, kind))
     total = classes.count()
@@ -356,5 +356,5 @@ def linked(vectors: DataFrame, least: float = 0.95, seed: int = 6) -> DataFrame:
     known = classes.join(roots, classes["rep"] == roots["node"], "left").join(counts, "rep", "left")
     known = staged(known.select("h", "g", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "rep").alias("component_id")))
     linked = rows.select("vec_id", "h", "g").join(known, ["h", "g"]).select("vec_id", "n_links", "component_id")
-    alone = vectors.filter(F.col("vec_id").isNull() | ~sound(F.col("embedding"))).select(F.col("vec_id").cast("long").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col("vec_id").cast("long").alias("component_id"))
+    alone = points.filter(F.col("vec_id").isNull() | ~sound(F.col("embedding"))).select(F.col("vec_id").cast("long").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col("vec_id").cast("long").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

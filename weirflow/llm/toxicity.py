@@ -1,4 +1,4 @@
-"""Toxicity: a support vector machine over a subsequence string kernel with Nystroem landmarks."""
+"""Toxicity: a SVM over a subsequence string kernel with Nystroem landmarks."""
 
 from __future__ import annotations
 
@@ -321,9 +321,9 @@ def fit(texts: list[str | None], labels: list[int], prevalence: float | None = N
         return constant
     table = Landmarks(chosen)
     gram = table.kernel(chosen).astype(np.float64)
-    values, vectors = np.linalg.eigh((gram + gram.T) / 2)
+    values, axes = np.linalg.eigh((gram + gram.T) / 2)
     good = values > 1e-3 * values.max()  # kernels are single precision
-    root = vectors[:, good] / np.sqrt(values[good])
+    root = axes[:, good] / np.sqrt(values[good])
     similar = table.kernel(vocabulary)
     x, tells = similar @ root.astype(np.float32), similar[:, : len(sure)].max(1)
     evidence = (similar[:, : len(sure)] * sure).max(1)
