@@ -210,7 +210,7 @@ CIPHERS = {
 
 @function("encrypt", "plaintext", "algorithm", "key", "iv", literal="algorithm")
 def encrypt(plaintext: Column, algorithm: str, key: Column, iv: Column) -> Column:
-    """The cipher text without its start vector."""
+    """The cipher text without its start block."""
     out = F.aes_encrypt(plaintext.cast("binary"), key.cast("binary"), F.lit(CIPHERS[algorithm]), F.lit("DEFAULT"), iv.cast("binary"))
     return F.substring(out, 13 if CIPHERS[algorithm] == "GCM" else 17, 2**31 - 1)
 

@@ -7,6 +7,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from ..plans.order import staged
+
 #: A lookup table of at most so many bytes in Catalyst's estimate is sent to all executors; a larger one is shuffled.
 BROADCAST_BYTES = 64 << 20
 
@@ -89,12 +91,12 @@ def find_records(df: DataFrame, table: DataFrame, where: Mapping[str, Column | B
         out = left.join(grouped, on, "left").drop(*[f"_e{i}" for i in range(len(equal))])
         if wildcard is not None:
             star = right.filter(" and ".join(f"`_t_{c}` = '{wildcard}'" for c in equal)).groupBy().agg(listed(F.collect_list(item)).alias("_star"))
-            out = out.join(F.broadcast(star))  # one row
+            out = out.join(small(star))  # one row
             out = out.withColumn("_hits", F.coalesce("_hits", "_star")).drop("_star")
         empty = F.array().cast(grouped.schema["_hits"].dataType)
         return out.withColumn(name, F.coalesce("_hits", empty)).select(*df.columns, name)
-    # a range multiplies rows by their hits only; they are gathered by a number of the row
-    numbered = left.withColumn("_id", F.monotonically_increasing_id())
+    # a range multiplies rows by their hits only; they are gathered by a number of the row, written so that both sides agree on it
+    numbered = staged(left.withColumn("_id", F.monotonically_increasing_id()))
     hits = numbered.select("_id", *[c for c in left.columns if c not in df.columns]).join(small(right), test).groupBy("_id").agg(listed(F.collect_list(item)).alias("_hits"))
     out = numbered.join(hits, "_id", "left")
     return out.withColumn(name, F.coalesce("_hits", F.array().cast(hits.schema["_hits"].dataType))).select(*df.columns, name)

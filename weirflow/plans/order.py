@@ -16,20 +16,35 @@ def shared_folder(spark: SparkSession) -> str:
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     base = "file://" + tempfile.mkdtemp(prefix="weirflow-plan-")
     spark.conf.set("spark.checkpoint.dir", base)
     return base
 
 
+def own_folder(spark: SparkSession) -> str:
+    """This application's part of the shared folder; it goes when the driver ends."""
+    path = f"{shared_folder(spark)}/weirflow-plan-{spark.sparkContext.applicationId}"
+    if path not in _OWNED:
+        _OWNED.add(path)
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+        system.mkdirs(folder)
+        system.deleteOnExit(folder)
+    return path
+
+
 def staged(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared folder and read back; a lost executor costs no recomputation of what came before."""
-    path = f"{shared_folder(df.sparkSession)}/plan-{uuid.uuid4().hex}"
+    path = f"{own_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_OWNED: set[str] = set()
+
 #: Rows of one key that a window may hold in one task.
 HOT = 1_000_000
 
