@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from weirflow.plans import function_queries, queries as catalogue  # noqa: F401
+from weirflow.plans import function_queries, operator_queries, queries as catalogue  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events documents pages conversations".split()
 
