@@ -227,6 +227,14 @@ def test_op5_mixing(spark, data, docs):
     assert sorted(map(str, rows)) == sorted(map(str, q.op5_mixing(spark, data).collect()))
 
 
+def test_op5_takes_the_documents_that_its_sql_takes(spark, data):
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{data}/documents.parquet'")
+    want = con.execute(q.oracle_sql()["op5_mixing"]).fetchall()
+    got = q.op5_mixing(spark, data).select("doc_id", "size", "source_size", "target", "taken").collect()
+    assert sorted(want) == sorted(map(tuple, got))
+
+
 def test_op6_embedding_dedup(spark, data, points):
     ids, x = points
     unit = x / np.linalg.norm(x, axis=1)[:, None]

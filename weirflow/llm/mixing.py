@@ -15,10 +15,9 @@ def word_count(text: str) -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def uniform(key: Column, seed: int) -> Column:
-    """Strictly between 0 and 1, from 48 bits of md5."""
-    digits = F.substring(F.md5(F.concat(F.coalesce(key.cast("string"), F.lit("")), F.lit(f":{seed}"))), 1, 12)
-    return (F.conv(digits, 16, 10).cast("double") + F.lit(0.5)) / F.lit(float(2**48))
+def uniform(digest: Column) -> Column:
+    """Strictly between 0 and 1, from the first 48 bits of an md5."""
+    return (F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") + F.lit(0.5)) / F.lit(float(2**48))
 
 
 def _class(size: Column) -> Column:
@@ -63,7 +62,7 @@ def targets(slim: DataFrame, weights: tuple[float, ...], share: float, cap: floa
 
 
 def cuts(slim: DataFrame, sources: DataFrame) -> DataFrame:
-    """sources with the last rank that is taken (q_cut, g_cut).
+    """sources with the last rank that is taken (q_cut, g_cut) and the document that fits best into what is then left (g_fit).
 
     Ranks are first summed in bins; only the bin in which a source reaches its rest is put in order.
     """
@@ -77,30 +76,36 @@ def cuts(slim: DataFrame, sources: DataFrame) -> DataFrame:
       from s join {rest} r on s.source <=> r.source group by s.source""", bins=bins, rest=staged(rest)))
     near = ranked.drop("rest").join(reach, ranked["source"].eqNullSafe(reach["source"]) & (ranked["bin"] == reach["bin"])).select(reach["source"], "q", "g", "size", "before", "rest")
     cut = staged(slim.sparkSession.sql("""
-      with t as (select *, before + sum(size) over (partition by source order by q, g) - size / 2.0D as middle from {near})
-      select source as c_source, max(struct(q, g)) filter (where middle <= rest) as cut from t group by source""", near=near))
-    joined = sources.join(reach.select(F.col("source").alias("r_source"), "bin", F.lit(True).alias("ranked")), F.expr("source <=> r_source"), "left").join(cut, F.expr("source <=> c_source"), "left")
+      with t as (select *, before + sum(size) over (partition by source order by q, g) as upto from {near})
+      select source as c_source, max(struct(q, g, upto)) filter (where upto <= rest) as cut from t group by source""", near=near))
+    joined = sources.join(reach.select(F.col("source").alias("r_source"), "bin", "before", "rest", F.lit(True).alias("ranked")), F.expr("source <=> r_source"), "left").join(cut, F.expr("source <=> c_source"), "left")
     edge = F.col("bin").cast("double") / BINS
-    return staged(joined.select(
+    found = staged(joined.select(
         *sources.columns,
         # without a cut inside the bin, what lies in earlier bins is taken
         F.when(F.col("ranked") & F.col("bin").isNull(), F.lit(float("inf"))).when(F.col("cut").isNotNull(), F.col("cut.q")).otherwise(edge / (1 - edge)).alias("q_cut"),
-        F.col("cut.g").alias("g_cut"),
+        F.when(F.col("cut").isNotNull(), F.col("cut.g")).otherwise("").alias("g_cut"),
+        (F.col("rest") - F.coalesce("cut.upto", "before")).alias("left"),
     ))
+    later = ranked.select("source", "q", "g", "size").join(found.select(F.col("source").alias("f_source"), "q_cut", "g_cut", "left"), F.expr("source <=> f_source")).filter("struct(q, g) > struct(q_cut, g_cut) and abs(size - left) < left")
+    fit = later.groupBy("f_source").agg(F.min_by("g", F.struct(F.abs(F.col("size") - F.col("left")), "q", "g")).alias("g_fit"))
+    return staged(found.join(fit, F.expr("source <=> f_source"), "left").select(*found.columns, "g_fit").drop("left"))
 
 
 def mixed(rows: DataFrame, cut: DataFrame) -> DataFrame:
     """Every row of rows (source, size, klass, u, g, ...) with its source's figures and ``copies``."""
     cut = cut.withColumnRenamed("source", "_source")
     out = _drawn(rows.join(cut, F.col("source").eqNullSafe(F.col("_source"))))
-    extra = (F.col("q") < F.col("q_cut")) | ((F.col("q") == F.col("q_cut")) & (F.col("g") <= F.coalesce(F.col("g_cut"), F.lit(2**63 - 1))))
+    extra = (F.col("q") < F.col("q_cut")) | ((F.col("q") == F.col("q_cut")) & (F.col("g") <= F.col("g_cut"))) | (F.col("q").isNotNull() & F.col("g").eqNullSafe(F.col("g_fit")))
     return out.withColumn("copies", F.col("whole") + F.coalesce(extra.cast("long"), F.lit(0)))
 
 
 def prepared(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds size, klass and _k, which rows of one id, source and text share."""
     size = word_count(text)
-    same = F.xxhash64("doc_id", F.col("doc_id").isNull(), "source", F.col("source").isNull(), text, F.col(text).isNull())
+    said = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    none = lambda c: F.col(c).isNull().cast("int").cast("string")
+    same = F.md5(F.concat_ws(":", said("doc_id"), none("doc_id"), F.md5(said("source")), none("source"), F.md5(said(text)), none(text)))
     return docs.withColumn("size", size).withColumn("klass", _class(F.col("size"))).withColumn("_k", same)
 
 
@@ -114,8 +119,8 @@ def drawn(rows: DataFrame, repeated: DataFrame, seed: int) -> DataFrame:
     many = staged(numbered(many, "_k", "_tie").drop("_total", "_tie"))
     first = many.groupBy("_k").agg(F.min("_row").alias("_first"))
     many = many.join(first, "_k").withColumn("_i", F.col("_row") - F.col("_first")).drop("_row", "_first")
-    out = alone.unionByName(many).withColumn("g", F.xxhash64("_k", "_i"))
-    return out.withColumn("u", uniform(F.concat_ws(":", "_k", "_i"), seed)).drop("_k", "_i")
+    out = alone.unionByName(many).withColumn("g", F.md5(F.concat_ws(":", "_k", F.col("_i").cast("string"), F.lit(str(seed)))))
+    return out.withColumn("u", uniform(F.col("g"))).drop("_k", "_i")
 
 
 def _plan(docs: DataFrame, weights: tuple[float, ...], share: float, cap: float, seed: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -130,8 +135,9 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     """doc_id, size, source_size, target, taken for every document.
 
     Each document first gets its certain whole copies; the fraction left over is its inclusion probability. Within
-    a source the documents are ranked by random odds over inclusion odds, and the smallest ranks are taken until
-    their words fill what the certain copies left of the target: the last one is taken if that comes nearer.
+    a source the documents are ranked by random odds over inclusion odds, and the smallest ranks are taken as long as
+    their words fit into what the certain copies left of the target. The last place goes to the document, of those that follow, whose
+    words come nearest to what is then left, if that is nearer than none.
     Null texts have size 0 and are never taken; a null source is a source of its own. Rows of one id (a null one too), source
     and text are drawn each by itself, so any number of them meets the target; as they are alike, reruns agree on how many
     are taken. An empty table gives an empty result; other columns are not read.
@@ -147,3 +153,32 @@ def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), sha
     kept = docs.select(*[F.col(c).alias(f"d{i}") for i, c in enumerate(columns)], F.col("source"), F.col("doc_id"), F.col("text"))
     out = mixed(drawn(prepared(kept).drop("text", "doc_id"), repeated, seed), cut).filter("copies > 0")
     return out.select(*[F.col(f"d{i}").alias(c) for i, c in enumerate(columns)], F.explode(F.expr("sequence(1L, copies)")).alias("_copy")).drop("_copy")
+
+
+def oracle(weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, seed: int = 5) -> str:
+    """DuckDB SQL for ``mix``."""
+    low, middle = UTILITY[0], UTILITY[1]
+    listed = ", ".join(str(float(w)) for w in weights)
+    sums = ", ".join(f"sum(case when klass = {k} then size else 0 end)::double as s{k}" for k in range(3))
+    return f"""
+    with a as (select doc_id, source, coalesce(len(regexp_extract_all(text, '{WORD}')), 0)::bigint as size,
+        md5(concat_ws(':', coalesce(doc_id::varchar, ''), (doc_id is null)::int, md5(coalesce(source, '')), (source is null)::int, md5(coalesce(text, '')), (text is null)::int)) as k from documents),
+    b as (select *, md5(concat_ws(':', k, row_number() over (partition by k) - 1, '{seed}')) as g, case when size < {low[0]} then 0 when size < {middle[0]} then 1 else 2 end as klass from a),
+    s as (select source, sum(size)::bigint as source_size, {sums} from b group by source),
+    w as (select *, (list_value({listed}))[((row_number() over (order by source nulls last) - 1) % {len(weights)}) + 1]::double as weight from s),
+    r as (select *, {cap} * source_size::double / weight as fill, {share} * (sum(source_size) over ())::double as want from w),
+    l as (select *, want - coalesce(sum({cap} * source_size::double) over (order by fill, source nulls last rows between unbounded preceding and 1 preceding), 0) as left_want,
+        sum(weight) over (order by fill, source nulls last rows between current row and unbounded following) as left_weight from r),
+    c as (select *, max(case when left_want / left_weight <= fill then left_want / left_weight end) over () as level from l),
+    t as (select *, least({cap} * source_size::double, coalesce(level, {cap} * source_size::double) * weight) as target from c),
+    x as (select *, case when source_size = 0 then 0 when target >= {cap} * source_size::double * (1 - 1e-12) then {2 * cap}
+        when target / (0.5::double * s0 + 0.8::double * s1 + s2) <= {cap} then target / (0.5::double * s0 + 0.8::double * s1 + s2)
+        when s0 + s1 > 0 and (target - {cap}::double * s2) / (0.5::double * s0 + 0.8::double * s1) <= {cap}::double / 0.8::double then (target - {cap}::double * s2) / (0.5::double * s0 + 0.8::double * s1)
+        when s0 > 0 then (target - {cap}::double * s2 - {cap}::double * s1) / (0.5::double * s0) else {cap / 0.8} end::double as rate_c from t),
+    d as (select b.*, source_size, target, least({cap}::double, rate_c * case klass when 0 then {low[1]}::double when 1 then {middle[1]}::double else 1 end) as rate, (('0x' || substr(g, 1, 12))::bigint + 0.5::double) / {2**48}::double as u from b join x on b.source is not distinct from x.source),
+    e as (select *, floor(rate + 1e-9)::bigint as whole, rate - floor(rate + 1e-9) as part from d),
+    f as (select *, case when part > 1e-9 and size > 0 then (u / (1 - u)) / (part / (1 - part)) end as q, target - sum(whole * size) over (partition by source) as rest from e),
+    h as (select *, sum(case when q is null then 0 else size end) over (partition by source order by q nulls last, g rows unbounded preceding) as upto from f),
+    i as (select *, rest - coalesce(max(case when q is not null and upto <= rest then upto end) over (partition by source), 0) as left_over from h),
+    j as (select *, row_number() over (partition by source order by case when q is not null and upto > rest and abs(size - left_over) < left_over then 0 else 1 end, abs(size - left_over), q, g) as place from i)
+    select doc_id, size, source_size, target, ((whole + case when q is not null and (upto <= rest or place = 1 and abs(size - left_over) < left_over) then 1 else 0 end) * size)::bigint as taken from j"""

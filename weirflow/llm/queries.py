@@ -65,4 +65,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """For the queries that SQL can express in reasonable time."""
-    return {"op2_url_filter": reputation.oracle()}
+    return {"op2_url_filter": reputation.oracle(), "op5_mixing": mixing.oracle()}
