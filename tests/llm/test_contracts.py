@@ -539,3 +539,22 @@ def test_work_grows_with_the_matches(spark):
 
     seconds(100)
     assert seconds(8000) < 12 * max(0.5, seconds(2000))
+
+
+def test_a_dense_cone_keeps_its_links(spark):
+    """Pairs planted at the least similarity among 6,000 points that all lean one way: links as by brute force."""
+    from weirflow.llm import embedding_dedup
+
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(6000, 32)) + 1.5
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    side = rng.normal(size=(300, 32))
+    side -= (side * x[:300]).sum(1)[:, None] * x[:300]
+    side /= np.linalg.norm(side, axis=1)[:, None]
+    x = np.concatenate([x, 0.951 * x[:300] + math.sqrt(1 - 0.951**2) * side])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.linked(df).collect()}
+    links = x @ x.T >= 0.95
+    np.fill_diagonal(links, False)
+    want = roots(list(zip(*np.nonzero(links))), range(len(x)))
+    assert sum(got[i] == (links[i].sum(), want[i]) for i in range(len(x))) >= 0.999 * len(x)

@@ -97,6 +97,16 @@ def _near(x: np.ndarray, y: np.ndarray | None, least: float) -> tuple[np.ndarray
     return i, j, s[i, j] >= least + slack
 
 
+def _forest(ids: np.ndarray, i: np.ndarray, j: np.ndarray, sure: np.ndarray) -> pd.DataFrame:
+    """Of the pairs of places i-j the sure ones that join components, and those to be verified between what these leave apart."""
+    parent = np.arange(len(ids))
+    kept = np.array(_span(parent, i[sure], j[sure]), np.int64).reshape(-1, 2)
+    i, j = i[~sure], j[~sure]
+    apart = parent[i] != parent[j]
+    i, j = i[apart], j[apart]
+    return pd.DataFrame({"a": ids[np.concatenate([kept[:, 0], i])], "b": ids[np.concatenate([kept[:, 1], j])], "sure": np.arange(len(kept) + len(i)) < len(kept)})
+
+
 def _joined(rep: np.ndarray, x: np.ndarray, before: tuple[np.ndarray, np.ndarray] | None, least: float) -> pd.DataFrame:
     """Of a block, and of it with the block before: sure links that join components, and pairs to be verified between what these leave apart."""
     i, j, sure = _near(x, None, least)
@@ -105,11 +115,7 @@ def _joined(rep: np.ndarray, x: np.ndarray, before: tuple[np.ndarray, np.ndarray
         p, q, more = _near(before[1], x, least)
         ids = np.concatenate([rep, before[0]])
         i, j, sure = np.concatenate([i, p + len(rep)]), np.concatenate([j, q]), np.concatenate([sure, more])
-    parent = np.arange(len(ids))
-    kept = np.array(_span(parent, i[sure], j[sure]), np.int64).reshape(-1, 2)
-    i, j = i[~sure], j[~sure]
-    i, j = i[parent[i] != parent[j]], j[parent[i] != parent[j]]
-    return pd.DataFrame({"a": ids[np.concatenate([kept[:, 0], i])], "b": ids[np.concatenate([kept[:, 1], j])], "sure": np.arange(len(kept) + len(i)) < len(kept)})
+    return _forest(ids, i, j, sure)
 
 
 _FOUND = "a long, b long, sure boolean, edge long, side int, order int, dim int, reps binary, x binary"
@@ -182,7 +188,7 @@ def _across(least: float):
         dim = int(group["dim"].iloc[0])
         (p, x), (q, y) = [(np.frombuffer(r, np.int64), np.frombuffer(v, "<f2").reshape(-1, dim).astype(np.float32)) for r, v in zip(group["reps"], group["x"])]
         i, j, sure = _near(x, y, least)
-        return pd.DataFrame({"a": p[i], "b": q[j], "sure": sure})
+        return _forest(np.concatenate([p, q]), i, j + len(p), sure)
 
     return run
 
