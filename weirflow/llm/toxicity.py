@@ -18,6 +18,8 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 #: Letters that a symbol stands for in disguised words.
 FOLD = str.maketrans("0134578@$!", "oieastbasi")
 LETTERS, DECAY, POWER, WINDOW, STEP = 32, 0.7, 4, 14, 3
+#: Similarities below this, before they are sharpened, are none.
+SMALL = 0.25
 #: Similarity to a telling landmark from which a word is read without a letter, and what such a reading costs in the decision.
 NEAR, PUT_IN = 0.5, 0.1
 #: Decisions above count as this much.
@@ -106,7 +108,7 @@ class Landmarks:
         return (x[:, :, 0] * LETTERS + x[:, :, 1]) * LETTERS + x[:, :, 2]
 
     def kernel(self, words: list[str]) -> np.ndarray:
-        """Words by landmarks; of a long word the largest over its windows; zero for a word of under three letters."""
+        """Words by landmarks; of a long word the largest over its windows; zero for a word of under three letters, and below SMALL."""
         out = np.zeros((len(words), self.table.shape[1]), np.float32)
         by_length: dict[int, tuple[list[int], list[str]]] = {}
         for i, w in enumerate(words):
@@ -126,9 +128,14 @@ class Landmarks:
                     continue
                 first = np.flatnonzero(np.diff(row, prepend=-1))
                 sums = np.add.reduceat(self.table[place[row, column]] * decay[column, None], first, axis=0)
+                # no norm is below that of a word whose subsequences all differ, so this bounds the kernel from above
+                some = sums.max(1) >= SMALL * np.sqrt((decay * decay).sum())
+                rows = row[first][some]
+                if not len(rows):
+                    continue
                 value = np.zeros((len(codes), out.shape[1]), np.float32)
-                value[row[first]] = sums
-                value = np.clip(value / _norms(codes)[:, None], 0, 1) ** POWER
+                near = sums[some] / _norms(codes[rows])[:, None]
+                value[rows] = np.where(near >= SMALL, np.minimum(near, 1), 0) ** POWER
                 owner = np.array(owners[a : a + step])
                 if length == WINDOW:
                     np.maximum.at(out, owner, value)
