@@ -262,13 +262,14 @@ def _support(texts: list[np.ndarray], words: int) -> np.ndarray:
     return np.minimum(within, np.bincount(pairs // (words + 1), minlength=words))
 
 
-def _landmarks(words: list[str], toxic: np.ndarray, clean: np.ndarray, texts: tuple[int, int], most: int) -> tuple[list[str], np.ndarray]:
+def _landmarks(words: list[str], toxic: np.ndarray, clean: np.ndarray, most: int) -> tuple[list[str], np.ndarray]:
     """Words that tell toxic texts, then frequent words; none too like one before it. And how sure each of the first kind is.
 
     toxic and clean: in how many texts of each kind a word is. By the likelihood ratio of its toxic share against that of all
-    texts, against odds of twenty for each word that was tried, a word is sure from 0 to 1.
+    words, against odds of ten for each word that was tried, a word is sure from 0 to 1.
     """
-    share = (texts[0] + 1) / (sum(texts) + 2)
+    # of all places of words, so that longer texts of one kind make no word telling
+    share = (toxic.sum() + 1) / (toxic.sum() + clean.sum() + 2)
     usual = np.array([4 <= len(w) <= WINDOW for w in words], bool)
     with np.errstate(divide="ignore", invalid="ignore"):
         rate = toxic / (toxic + clean)
@@ -286,7 +287,7 @@ def _landmarks(words: list[str], toxic: np.ndarray, clean: np.ndarray, texts: tu
                 places.append(i)
 
     extend(sorted(np.flatnonzero(telling).tolist(), key=lambda i: (-surprise[i], words[i])), most * 7 // 8)
-    sure = 1 / (1 + 20 * (toxic > 0).sum() * np.exp(-np.minimum(surprise[places], 500)))
+    sure = 1 / (1 + 10 * (toxic > 0).sum() * np.exp(-np.minimum(surprise[places], 500)))
     frequent = np.flatnonzero(usual & (clean > 0))
     extend(sorted(frequent.tolist(), key=lambda i: (-clean[i], words[i]))[:200], most)
     return chosen, sure
@@ -322,8 +323,7 @@ def fit(texts: list[str | None], labels: list[int], prevalence: float | None = N
     vocabulary = list(place)
     toxic, clean = (_support([o for o, v in zip(order, y) if v == label], len(place)) for label in (1, 0))
     del order
-    kinds = (int(y.sum()), int((1 - y).sum()))
-    chosen, sure = _landmarks(vocabulary, toxic, clean, kinds, landmarks)
+    chosen, sure = _landmarks(vocabulary, toxic, clean, landmarks)
     if not len(sure):  # no word of a toxic text to learn from
         return constant
     table = Landmarks(chosen)
@@ -335,8 +335,8 @@ def fit(texts: list[str | None], labels: list[int], prevalence: float | None = N
     x, tells = similar @ root.astype(np.float32), similar[:, : len(sure)].max(1)
     evidence = (similar[:, : len(sure)] * sure).max(1)
     del similar
-    # of texts of both kinds in equal numbers, most that hold the word are toxic, one more clean text allowed for
-    can = (toxic / kinds[0] > (clean + 1) / kinds[1]) | ((toxic > 0) & (clean == 0))
+    # it is in more toxic texts than words are at large, one more clean text allowed for
+    can = (toxic > toxic.sum() / max(1, clean.sum()) * (clean + 1)) | ((toxic > 0) & (clean == 0))
     negative = (clean > 0) & ~can
     positive = can & (tells >= 0.79**POWER)
     hard = np.zeros(len(vocabulary), bool)
@@ -345,7 +345,7 @@ def fit(texts: list[str | None], labels: list[int], prevalence: float | None = N
         own = np.flatnonzero(positive)
         forms = [disguised(vocabulary[i], draw) if len(vocabulary[i]) > 2 else [] for i in own]
         more = table.kernel([f for fs in forms for f in fs]) @ root.astype(np.float32)
-        trust = evidence[own]
+        trust = evidence[own] ** 2  # a doubtful word hardly counts
         # all of them weigh as much as negatives do if any is sure
         scale = 500 * trust.max(initial=0) / max(1e-9, trust.sum())
         spread = np.repeat(trust * scale / 3, [len(fs) for fs in forms])
