@@ -1,12 +1,7 @@
 """Queries over whole tables and texts, against brute force in plain Python."""
 
 import hashlib
-import zlib
 
-import numpy as np
-
-from weirflow.llm import embedding_dedup, packing, toxicity
-from weirflow.llm.queries import tokenizer
 from weirflow.plans import queries as catalogue
 
 
@@ -15,12 +10,12 @@ def test_every_order_enters_the_range_join(spark, data):
     parts = [(r.p_partkey, r.p_retailprice * 100) for r in catalogue.table(spark, data, "part").collect()]
     want = sorted((o, p) for o, price in orders for p, low in parts if low <= price <= low + 20)
     assert any(o % 10 for o, _ in want)
-    assert sorted(map(tuple, catalogue.QUERIES["enrich_range_whole"](spark, data).collect())) == want
+    assert sorted(map(tuple, catalogue.QUERIES["enrich_range"](spark, data).collect())) == want
 
 
 def test_every_gauge_passes_the_sum(spark, data):
     want = sorted(round(r.value, 6) for r in catalogue.events(spark, data).collect())
-    got = catalogue.QUERIES["aggregate_sum_whole"](spark, data).filter("name = 'pass'").collect()
+    got = catalogue.QUERIES["aggregate_sum"](spark, data).filter("name = 'pass'").collect()
     assert sorted(r.value for r in got) == want
 
 
@@ -28,54 +23,13 @@ def test_array_functions_see_whole_texts(spark, data):
     texts = {r.doc_id: [w for w in r.text.split(" ") if w] for r in catalogue.table(spark, data, "documents").collect() if r.text is not None}
     md5 = lambda words: hashlib.md5(" ".join(words).encode()).hexdigest()
     want = {i: (len(ws), "the" in ws, md5(ws[:-1]), md5([*ws, "end"]), len(set(ws))) for i, ws in texts.items()}
-    got = {r.doc_id: (r.n, r.has, r.popped, r.pushed, r.kinds) for r in catalogue.QUERIES["fn_array_whole"](spark, data).collect()}
+    got = {r.doc_id: (r.n, r.has, r.popped, r.pushed, r.kinds) for r in catalogue.QUERIES["fn_array"](spark, data).collect()}
     assert got == want and max(n for n, *_ in want.values()) > 1000
 
 
-def test_no_link_of_a_dense_cone_is_lost(spark):
-    rng = np.random.default_rng(3)
-    axis = np.eye(64)[0]
-    side = lambda n: (v := rng.normal(size=(n, 64)) * (1 - axis)) / np.linalg.norm(v, axis=1)[:, None]
-    cone = np.sqrt(0.85) * axis + np.sqrt(0.15) * side(6000)
-    near = 0.955 * cone[:300] + (w := (v := rng.normal(size=(300, 64))) - (v * cone[:300]).sum(1)[:, None] * cone[:300]) / np.linalg.norm(w, axis=1)[:, None] * np.sqrt(1 - 0.955**2)
-    x = np.concatenate([cone, near]).astype(np.float32)
-    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
-    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
-    links = unit @ unit.T >= 0.95
-    np.fill_diagonal(links, False)
-    assert links[np.arange(300), np.arange(6000, 6300)].all()
-    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.linked(rows).collect()}
-    assert [got[i][0] for i in range(len(x))] == links.sum(1).tolist()
-    assert all(got[i][1] == got[i + 6000][1] for i in range(300))
-
-
 def test_lists_of_whole_turns_are_merged(spark, data):
     turns = {}
     for r in sorted(catalogue.table(spark, data, "conversations").collect(), key=lambda r: r.turn):
         turns.setdefault(r.conv_id, []).append([w for w in r.text.split(" ") if w])
     want = {i: (" ".join(sum(ls, [])), " ".join(max(ls, key=len)), " ".join(min(ls, key=len))) for i, ls in turns.items()}
-    assert {r.conv_id: (r.words, r.longest, r.shortest) for r in catalogue.QUERIES["reduce_lists_whole"](spark, data).collect()} == want
-
-
-def test_insults_with_one_and_with_all_gaps_filled_are_predicted(spark):
-    rng = np.random.default_rng(5)
-    words = ["".join(rng.choice(list("bcdfghklmnprstvw"), 3)[i // 2] if i % 2 == 0 else rng.choice(list("aeiou")) for i in range(6)) for _ in range(400)]
-    insults = ["idiot", "moron", "loser", "stupid", "worthless"]
-    clean = lambda: " ".join(rng.choice(words, 12))
-    texts = [clean() for _ in range(300)] + [f"{clean()} {insults[i % 5]} {clean()}" for i in range(150)]
-    model = toxicity.fit(texts, [0] * 300 + [1] * 150)
-    one = [f"{w[:2]}{s}{w[2:]}" for w in insults for s in "-.*"]
-    every = [s.join(w) for w in insults for s in "-.*"]
-    held = [(1, f"{clean()} {w} {clean()}") for w in insults + one + every] + [(0, clean()) for _ in range(50)] + [(0, f"{clean()} well-known e.g. {clean()}")]
-    rows = spark.createDataFrame([(i, y, t) for i, (y, t) in enumerate(held)], "doc_id long, y int, text string")
-    wrong = [r.text for r in toxicity.scored(rows, model).collect() if r.predicted != r.y]
-    assert not wrong
-
-
-def test_special_tokens_in_a_text_have_the_ids_of_tokenizers(spark):
-    from tokenizers import Tokenizer
-
-    texts = ["one <|endoftext|> two<|endoftext|>", "<|endoftext|>", "<|endoftext|", "plain words"]
-    want = [np.array([*Tokenizer.from_file(tokenizer()).encode(x, add_special_tokens=False).ids, 0], "<u4") for x in texts]
-    got = {r.doc_id: r for r in packing.packed(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), tokenizer()).collect()}
-    assert [(got[i].length, got[i].ids_crc32) for i in range(4)] == [(len(x), zlib.crc32(x.tobytes())) for x in want]
+    assert {r.conv_id: (r.words, r.longest, r.shortest) for r in catalogue.QUERIES["reduce_lists"](spark, data).collect()} == want
