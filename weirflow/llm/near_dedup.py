@@ -254,4 +254,5 @@ def deduplicated(docs: DataFrame, least: float = 0.8, tile: int = 512) -> DataFr
     rows = docs.filter("doc_id is not null").select(*[F.col(c) for c in columns], F.col("doc_id").cast("long").alias("_key0"), *hashes)
     gone, again = gone.toDF(*keys), again.toDF(*keys)
     once = rows.join(again, keys, "left_anti").unionByName(rows.join(again, keys, "left_semi").dropDuplicates(keys))
-    return once.join(gone, keys, "left_anti").select(*columns).unionByName(docs.filter("doc_id is null"))
+    # what goes grows with the documents, so it is never broadcast, at no size
+    return once.join(gone.hint("merge"), keys, "left_anti").select(*columns).unionByName(docs.filter("doc_id is null"))
