@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -120,6 +121,34 @@ def test_neighbours(spark, points):
     assert neighbours.nearest(points.limit(0), F.col("vec_id") % 50 == 0, 5).count() == 0
 
 
+def test_neighbours_whatever_the_size(spark):
+    x = np.random.default_rng(7).standard_normal((300, 64))
+    few = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    # rows of another length are compared with none of these, yet are many
+    other = spark.range(1000, 61000).select(F.col("id").alias("vec_id"), F.array(F.cos("id"), F.sin("id")).alias("embedding"))
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    want = {i: [j for j in np.argsort(-(unit @ unit[i])).tolist() if j != i][:5] for i in range(0, 300, 10)}
+    for points in (few, few.union(other)):
+        hits = {}
+        for r in neighbours.nearest(points, (F.col("vec_id") % 10 == 0) & (F.col("vec_id") < 300), 5, tables=1, count=1).orderBy("query_id", "rank").collect():
+            hits.setdefault(r.query_id, []).append(r.vec_id)
+        assert hits == want
+
+
+def test_neighbours_by_cells_alone(spark, monkeypatch):
+    # eight points about each of 120 axes: the fifth neighbour is near, so no query is compared with all rows
+    r = np.random.default_rng(11)
+    x = (r.standard_normal((120, 1, 64)) + 0.6 * r.standard_normal((120, 8, 64))).reshape(-1, 64)
+    monkeypatch.delattr(neighbours, "_everywhere")
+    points = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    hits = {}
+    for row in neighbours.nearest(points, F.col("vec_id") % 10 == 0, 5).collect():
+        hits.setdefault(row.query_id, set()).add(row.vec_id)
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    want = {i: {j for j in np.argsort(-(unit @ unit[i])).tolist()[:6] if j != i} for i in range(0, 960, 10)}
+    assert sum(len(want[i] & hits[i]) for i in want) >= 0.95 * 5 * len(want)
+
+
 def test_embedding_dedup(spark, points):
     out = embedding_dedup.linked(points)
     found = sorted((-1 if r.vec_id is None else r.vec_id, r.n_links, r.component_id) for r in out.collect())

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -14,8 +15,8 @@ from .common import staged, usable
 SECOND, MASK = 64, 128
 #: Points of a task; how far a cosine in half precision may be off, with room.
 MOST, SLACK = 2048, 0.002
-#: Rows that a query's cells hold at least, by their mean: neighbours in a small table are far, so more cells are probed there.
-ROWS = 16384
+#: Pairs of points tried in each table for the chance that a neighbour is found.
+TRIALS = 256
 KEYS = ["dim", "tab", "one", "part"]
 
 
@@ -48,18 +49,52 @@ def heights(x: np.ndarray, table: int, which: int, seed: int) -> np.ndarray:
 
 def codes(x: np.ndarray, tables: int, seed: int) -> np.ndarray:
     """Of each row and table the nearest signed axes of both hashes, as one number."""
-    return np.stack([heights(x, t, 0, seed).argmax(1) * MASK + heights(x, t, 1, seed).argmax(1) for t in range(tables)], 1).astype("<i4")
+    return np.stack([heights(x, t, 0, seed).argmax(1) * MASK + heights(x, t, 1, seed).argmax(1) for t in range(tables)], 1).astype(">i4")
 
 
-def probes(x: np.ndarray, table: int, count: int, share: float, seed: int) -> np.ndarray:
-    """The pairs of axes with the largest sums of heights: ``count``, or that ``share`` of all pairs if it is more."""
+def probes(x: np.ndarray, table: int, count: int, seed: int) -> np.ndarray:
+    """The ``count`` pairs of axes with the largest sums of heights."""
     one, two = heights(x, table, 0, seed), heights(x, table, 1, seed)
     total = (one[:, :, None] + two[:, None, :]).reshape(len(x), -1)
-    count = max(count, int(np.ceil(min(1.0, share) * total.shape[1])))
     best = np.argpartition(-total, min(count, total.shape[1]) - 1, axis=1)[:, :count]
     return best // two.shape[1] * MASK + best % two.shape[1]
 
 
+@cache
+def sure(width: int, tables: int, count: int, seed: int, miss: float) -> float:
+    """The least cosine at which a point lies in a cell that its query probes, in any table, but for a chance of ``miss``.
+
+    Tried with random pairs of points of ``width`` coordinates, a power of two: rotations make the chance in a table that of any pair
+    at this cosine, and tables miss it independently.
+    """
+    if 2 * width * min(2 * width, MASK) <= count:
+        return -2.0
+    if width == 1:
+        return 1.0
+    rng = np.random.default_rng([seed, width])
+    x, z = rng.standard_normal((2, TRIALS, width))
+    x /= np.sqrt((x * x).sum(1))[:, None]
+    z -= (x * z).sum(1)[:, None] * x
+    z /= np.sqrt((z * z).sum(1))[:, None]
+    axes = [(heights(x, t, 0, seed), heights(x, t, 1, seed)) for t in range(tables)]
+    axes = [(one, two, np.sort(two, 1)) for one, two in axes]
+
+    def missed(at: float) -> float:
+        y, chance = at * x + np.sqrt(1 - at * at) * z, 1.0
+        for t, (one, two, rising) in enumerate(axes):
+            a, b = heights(y, t, 0, seed).argmax(1), heights(y, t, 1, seed).argmax(1)
+            # pairs of axes that the query probes before the point's
+            before = [two[i].size * one[i].size - np.searchsorted(rising[i], one[i, a[i]] + two[i, b[i]] + 1e-12 - one[i], "right").sum() for i in range(TRIALS)]
+            chance *= np.mean(np.array(before) >= count)
+        return chance
+
+    low, high = -1.0, 1.0
+    while high - low > 0.005:
+        at = (low + high) / 2
+        low, high = (low, at) if missed(at) <= miss else (at, high)
+    return high
+
+
 def cosine(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Row by row, in doubles."""
     return (x * y).sum(1) / (np.sqrt((x * x).sum(1)) * np.sqrt((y * y).sum(1)))
@@ -116,7 +151,7 @@ def _index(coded: DataFrame, kind: str, cells: Cells, tables: int) -> DataFrame:
         for batch in batches:
             for dim, part in batch.groupby("dim"):
                 half = [v.tobytes() for v in _unit(part["x"].tolist(), kind, dim).astype("<f2")]
-                code, rep = np.frombuffer(b"".join(part["codes"]), "<i4").reshape(-1, tables), part["rep"].to_numpy()
+                code, rep = np.frombuffer(b"".join(part["codes"]), ">i4").reshape(-1, tables), part["rep"].to_numpy()
                 for tab in range(tables):
                     at = cells.of(dim, tab, code[:, tab])
                     low, high = cells.low[at], cells.high[at]
@@ -126,20 +161,16 @@ def _index(coded: DataFrame, kind: str, cells: Cells, tables: int) -> DataFrame:
     return coded.select("rep", "dim", "x", "codes").mapInPandas(run, _ROW)
 
 
-def _asked(wanted: DataFrame, kind: str, cells: Cells, tables: int, count: int, share: float, seed: int, whole: bool) -> DataFrame:
-    """Each query once for each part that holds a cell it probes, with the second axes it probes there; ``whole``: all cells of one table."""
+def _asked(wanted: DataFrame, kind: str, cells: Cells, tables: int, count: int, seed: int) -> DataFrame:
+    """Each query once for each part that holds a cell it probes, with the second axes it probes there."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for dim, part in batch.groupby("dim"):
                 unit = _unit(part["x"].tolist(), kind, dim)
                 half, rep = [v.tobytes() for v in unit.astype("<f2")], part["rep"].to_numpy()
-                for tab in range(1 if whole else tables):
-                    if whole:
-                        every = np.flatnonzero(cells.key >> 32 == (dim << 8 | tab))
-                        at = np.tile(every, (len(rep), 1))
-                    else:
-                        at = cells.of(dim, tab, probes(unit, tab, count, share, seed))
+                for tab in range(tables):
+                    at = cells.of(dim, tab, probes(unit, tab, count, seed))
                     row, column = np.nonzero(at >= 0)
                     cell = at[row, column]
                     times = cells.high[cell] - cells.low[cell] + 1
@@ -155,6 +186,21 @@ def _asked(wanted: DataFrame, kind: str, cells: Cells, tables: int, count: int,
     return wanted.select("rep", "dim", "x").mapInPandas(run, _ROW)
 
 
+def _everywhere(wanted: DataFrame, kind: str, cells: Cells) -> DataFrame:
+    """Each query once for each part of the first table, with all second axes."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for dim, part in batch.groupby("dim"):
+                at = np.flatnonzero(cells.key >> 32 == dim << 8)
+                parts = pd.Series(cells.high[at] + 1).groupby((cells.key[at] & 0xFFFFFFFF) // MASK).max()
+                one, place = np.repeat(parts.index.to_numpy(), parts), np.concatenate([np.arange(n) for n in parts])
+                for rep, v in zip(part["rep"], _unit(part["x"].tolist(), kind, dim).astype("<f2")):
+                    yield pd.DataFrame({"dim": dim, "tab": 0, "one": one, "part": place, "query": True, "rep": rep, "code": 0, "mask": b"\xff" * (MASK // 8), "x": v.tobytes()})
+
+    return wanted.select("rep", "dim", "x").mapInPandas(run, _ROW)
+
+
 def _best(keep: int):
     """Of the cells that each query probes in a part, the nearest ``keep`` and what half precision can't tell from them."""
 
@@ -210,16 +256,28 @@ def _exact(pairs: DataFrame, coded: DataFrame, kind: str) -> DataFrame:
     return pairs.join(left, "q").join(right, "rep").select("q", "rep", "dim", "x", "y").mapInPandas(run, "q long, rep long, score double")
 
 
-def nearest(points: DataFrame, is_query: Column, k: int = 5, tables: int = 6, count: int = 1000, seed: int = 3) -> DataFrame:
+def _hits(found: DataFrame, coded: DataFrame, classes: DataFrame, kind: str, k: int) -> DataFrame:
+    """q, hits: for each query the k+1 nearest ids of the classes found, itself among them, by exact cosine."""
+    scored = _exact(found, coded, kind)
+    by_class = Window.partitionBy("q").orderBy(F.desc("score"), "rep")
+    top = scored.withColumn("n", F.row_number().over(by_class)).filter(F.col("n") <= k + 1).drop("n")
+    spread = top.join(classes.select("rep", "ids"), "rep").select("q", "score", F.explode("ids").alias("id"))
+    by_id = Window.partitionBy("q").orderBy(F.desc("score"), "id")
+    return staged(spread.withColumn("n", F.row_number().over(by_id)).filter(F.col("n") <= k + 1).groupBy("q").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "id"))).alias("hits")))
+
+
+def nearest(points: DataFrame, is_query: Column, k: int = 5, tables: int = 6, count: int = 1000, seed: int = 3, miss: float = 0.01) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest other rows found of every row that ``is_query`` selects.
 
     Equal points are one class: it is hashed once and stands for its k+1 smallest ids, which is all that an answer can
     hold of them. In every table two hashes give a class its cell, a pair of signed axes; a query looks in the ``count`` cells
-    whose axes are nearest to it, or in so many that they hold ROWS rows, and what it finds is ranked by exact cosine of the original points. Cells are dealt to tasks by what
-    they hold, so that the share of rows a query meets is that of its cells however large the table; how many rows each cell
-    holds is all that reaches the driver. A query that finds fewer than k is compared with all rows, in blocks. Points are
-    compared with those of their own length only. Null, zero or non-finite points and null ids take no part; repeated ids
-    count as rows of their own, except that a query never finds its own id; an empty table gives an empty result.
+    whose axes are nearest to it, however many rows there are, and what it finds is ranked by exact cosine of the original points.
+    Cells are dealt to tasks by what they hold, so that the share of rows a query meets is that of its cells however large the
+    table; how many rows each cell holds is all that reaches the driver. A query is compared with all rows, in blocks, if it finds
+    fewer than k, or if a row as near as the k-th it finds would have been missed with a chance of more than ``miss``, which depends on
+    that cosine only; in a table of far points that may be every query. Points are compared with those of their own length only.
+    Null, zero or non-finite points and null ids take no part; repeated ids count as rows of their own, except that a query never
+    finds its own id; an empty table gives an empty result.
     """
     rows = usable(points).withColumns({"h": F.xxhash64("embedding"), "g": F.xxhash64(F.lit(1), "embedding")})
     kind = "<f4" if "float" in points.schema["embedding"].dataType.simpleString() else "<f8"
@@ -230,22 +288,18 @@ def nearest(points: DataFrame, is_query: Column, k: int = 5, tables: int = 6, co
     classes = classes.drop("embedding")
     askers = staged(rows.filter(is_query).select("vec_id", "h", "g").join(classes.select("h", "g", "rep"), ["h", "g"]).select("vec_id", F.col("rep").alias("q")))
     wanted = staged(askers.select(F.col("q").alias("rep")).distinct().join(coded, "rep"))
-    listed = coded.select("dim", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(tables - 1)), lambda t: F.conv(F.hex(F.reverse(F.substring("codes", t * 4 + 1, 4))), 16, 10).cast("long"))).alias("tab", "code"))
+    listed = coded.select("dim", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(tables - 1)), lambda t: F.conv(F.hex(F.substring("codes", t * 4 + 1, 4)), 16, 10).cast("long"))).alias("tab", "code"))
     cells = Cells(listed.groupBy("dim", "tab", "code").agg(F.count("*").alias("n")).toPandas())
-    share = ROWS / max(1, tables * coded.count())
     index = _index(coded, kind, cells, tables)
-    found = staged(_searched(index, _asked(wanted, kind, cells, tables, count, share, seed, False), k + 1))
-    # copies count, so compare ids found with what is there: the rows of the query's own length
-    sizes = classes.select("rep", F.size("ids").alias("n"))
-    have = found.join(sizes, "rep").groupBy("q").agg(F.sum("n").alias("n"))
-    short = staged(wanted.join(have.filter(F.col("n") > k).select(F.col("q").alias("rep")), "rep", "left_anti"))
+    found = staged(_searched(index, _asked(wanted, kind, cells, tables, count, seed), k + 1))
+    hits = _hits(found, coded, classes, kind, k)
+    width = {int(d): 1 << (int(d) - 1).bit_length() for d in np.unique(cells.key >> 40)}
+    least = points.sparkSession.createDataFrame([(d, sure(w, tables, count, seed, miss)) for d, w in width.items()], "dim int, least double")
+    # copies count: the k-th of the other ids stands behind the query's own
+    kth = hits.filter(F.size("hits") > k).select(F.col("q").alias("rep"), (-F.col("hits")[k]["s"]).alias("kth"))
+    short = staged(wanted.join(kth.join(wanted.select("rep", "dim"), "rep").join(F.broadcast(least), "dim").filter("kth >= least").select("rep"), "rep", "left_anti"))
     if short.head(1):
-        found = staged(found.union(_searched(index.filter("tab = 0"), _asked(short, kind, cells, tables, count, share, seed, True), k + 1)).distinct())
-    scored = _exact(found, coded, kind)
-    by_class = Window.partitionBy("q").orderBy(F.desc("score"), "rep")
-    top = scored.withColumn("n", F.row_number().over(by_class)).filter(F.col("n") <= k + 1).drop("n")
-    spread = top.join(classes.select("rep", "ids"), "rep").select("q", "score", F.explode("ids").alias("id"))
-    by_id = Window.partitionBy("q").orderBy(F.desc("score"), "id")
-    spread = staged(spread.withColumn("n", F.row_number().over(by_id)).filter(F.col("n") <= k + 1).groupBy("q").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "id"))).alias("hits")))
-    hits = askers.join(spread, "q").select("vec_id", F.slice(F.filter("hits", lambda x: x["id"] != F.col("vec_id")), 1, k).alias("hits"))
+        again = _hits(staged(_searched(index.filter("tab = 0"), _everywhere(short, kind, cells), k + 1)), coded, classes, kind, k)
+        hits = hits.join(short.select(F.col("rep").alias("q")), "q", "left_anti").union(again)
+    hits = askers.join(hits, "q").select("vec_id", F.slice(F.filter("hits", lambda x: x["id"] != F.col("vec_id")), 1, k).alias("hits"))
     return hits.select(F.col("vec_id").alias("query_id"), F.posexplode("hits").alias("at", "hit")).select("query_id", (F.col("at") + 1).alias("rank"), F.col("hit.id").alias("vec_id"), (-F.col("hit.s")).alias("score"))
