@@ -37,7 +37,7 @@ def condition(df: DataFrame, what: Column | str | Mapping) -> Column:
 def program_condition(df: DataFrame, source: str) -> Column:
     from .expr import CompileError, Program
 
-    p = Program(df, source, lenient=True)
+    p = Program(df, source, lenient=True, pins=False)
     if p.df is not df:
         raise CompileError("a condition can't look up tables")
     v = p.result.value

@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DataType, DoubleType, LongType, NullType, StringType, TimestampType, VariantType
 
@@ -64,21 +65,75 @@ def _python(pattern: str) -> str:
 
 
 class Program:
-    """A compiled program over ``df``; ``tables`` are the enrichment tables that it may look up."""
+    """A compiled program over ``df``; ``tables`` are the enrichment tables that it may look up.
 
-    def __init__(self, df: DataFrame, source: str, tables: dict[str, DataFrame] | None = None, lenient: bool = False):
-        self.df, self.tables, self.lenient = df, tables or {}, lenient
+    Without ``pins`` no column is added to ``df``, as is needed where only an expression is wanted.
+    """
+
+    def __init__(self, df: DataFrame, source: str, tables: dict[str, DataFrame] | None = None, lenient: bool = False, pins: bool = True):
+        self.df, self.tables, self.lenient, self.pinning = df, tables or {}, lenient, pins
         self.state = State({f.name: Value(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields})
-        self.error: Column | None = None
-        self.aborted: Column | None = None
+        #: What may end the program, in order: whether it is an error, its message, and when.
+        self.ends: list[tuple[bool, Column, Column]] = []
         self.guard: Column | None = None
         self._log: list[DataType] | None = None
         self._replay: list[DataType] | None = None
         self._depth = 0
         self.result = self.block(parse(source))
 
+    @property
+    def error(self) -> Column | None:
+        return self._ended(True)
+
+    @property
+    def aborted(self) -> Column | None:
+        return self._ended(False)
+
+    def _ended(self, by_error: bool) -> Column | None:
+        """The message of the error, or of the abort, that comes first; null if the program ends otherwise."""
+        own = [i for i, (kind, _, _) in enumerate(self.ends) if kind == by_error]
+        out = F
+        for kind, message, test in self.ends[: own[-1] + 1] if own else ():
+            out = out.when(test, message if kind == by_error else F.lit(None).cast("string"))
+        return out if own else None
+
     # ---- types ----
 
+    def pinned(self, v: Value) -> Value:
+        """A value as a column under the program, so that what uses it more than once does not work it out again.
+
+        Values that do not need one another lie in one projection.
+        """
+        frames = [self.base]
+        for level in self.pins:
+            frames.append(frames[-1].select("*", *[c.alias(k) for k, c in level.items()]))
+        at = len(self.pins)
+        for i, frame in enumerate(frames[:-1]):
+            try:
+                frame.select(v.col)
+            except AnalysisException:
+                continue
+            at = i
+            break
+        taken = set(self.df.columns)
+        name = next(n for i in range(len(taken) + 1) if (n := f"_pin{i}") not in taken)
+        if at == len(self.pins):
+            self.pins.append({})
+        self.pins[at][name] = v.col
+        self._frame = frames[at]
+        for level in self.pins[at:]:
+            self._frame = self._frame.select("*", *[c.alias(k) for k, c in level.items()])
+        return Value(F.col(name), v.type)
+
+    @property
+    def df(self) -> DataFrame:
+        return self._frame
+
+    @df.setter
+    def df(self, frame: DataFrame) -> None:
+        self.base = self._frame = frame
+        self.pins = []
+
     def typed(self, col: Column) -> Value:
         if self._replay is not None:
             return Value(col, self._replay.pop(0))
@@ -143,21 +198,19 @@ class Program:
             return self.assign(node)
         if isinstance(node, Abort):
             text = F.lit("aborted") if node.message is None else self.handled(self.expression(node.message)).col.cast("string")
-            self.aborted = self._first(self.aborted, text, F.lit(True))
+            self.end(False, text, F.lit(True))
             return Result(Value(F.lit(None), NullType()))
         out = self.expression(node)
         # the value of the last statement may still be handled where it is used
         return out
 
-    def _first(self, known: Column | None, message: Column, when: Column) -> Column:
-        test = when if self.guard is None else self.guard & when
-        now = F.when(test, message)
-        return now if known is None else F.coalesce(known, now)
+    def end(self, by_error: bool, message: Column, when: Column) -> None:
+        self.ends.append((by_error, message, when if self.guard is None else self.guard & when))
 
     def raised(self, r: Result) -> Value:
         """The value of a call with a bang: an error ends the program."""
         if r.error is not None:
-            self.error = self._first(self.error, F.lit(r.message), r.error)
+            self.end(True, F.lit(r.message), r.error)
         return r.value
 
     def handled(self, r: Result) -> Value:
@@ -510,6 +563,9 @@ class Program:
         except (KeyError, ValueError) as e:
             raise CompileError(f"{node.name}: {e}") from e
         out = self.typed(col)
+        # an object is used for its error and for each of its fields
+        if self.pinning and f.fallible and out.kind in ("object", "array", "variant") and self.guard is None and self._depth == 0 and self._replay is None:
+            out = self.pinned(out)
         # every plain value has a text
         sure = node.name == "to_string" and args["value"].kind not in ("array", "object", "variant")
         if f.fallible and not sure:
@@ -703,7 +759,7 @@ def remap(df: DataFrame, source: str, drop_on_error: bool = False, drop_on_abort
     if drop_on_error:
         kept = kept & ~failed
     if drop_on_abort:
-        kept = kept & (failed | ~stopped)
+        kept = kept & ~stopped
     # rows that stay without being changed have their own fields, and none of the new
     bad = failed | stopped
     cols = []

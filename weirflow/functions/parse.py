@@ -7,7 +7,7 @@ import re
 
 from pyspark.sql import Column, functions as F
 
-from .registry import function, named_groups, python
+from .registry import bound, function, named_groups, python
 from .time import java_format
 
 
@@ -19,17 +19,23 @@ def parse_json(value: Column, max_depth: int | None = None) -> Column:
 def grouped(value: Column, pattern: str, kinds: dict[str, str] | None = None, times: dict[str, str] | None = None, dash: bool = False) -> Column:
     """A struct of a pattern's named groups; groups that did not take part are null, as is the whole without a match."""
     plain, names, _ = named_groups(pattern)
-    fields = []
-    for name, i in names.items():
-        text = F.regexp_extract(value, plain, i)
-        text = F.when(~text.isin("", "-") if dash else text != "", text)
-        kind = (kinds or {}).get(name)
-        if name in (times or {}):
-            text = F.try_to_timestamp(text, F.lit(times[name]))
-        elif kind:
-            text = text.try_cast(kind)
-        fields.append(text.alias(name))
-    return F.when(value.rlike(plain), F.struct(*fields))
+
+    def fields(found: Column) -> Column:
+        out = []
+        for at, name in enumerate(names):
+            text = F.get(found, at)
+            text = F.when(~text.isin("", "-") if dash else text != "", text)
+            kind = (kinds or {}).get(name)
+            if name in (times or {}):
+                text = F.try_to_timestamp(text, F.lit(times[name]))
+            elif kind:
+                text = text.try_cast(kind)
+            out.append(text.alias(name))
+        return F.struct(*out)
+
+    if not names:
+        return F.when(value.rlike(plain), F.struct())
+    return bound(value, lambda v: F.when(v.rlike(plain), bound(F.array(*[F.regexp_extract(v, plain, i) for i in names.values()]), fields)))
 
 
 @function("parse_regex", "value", "pattern", "numeric_groups=False", literal="pattern numeric_groups", fallible=True)
@@ -153,19 +159,30 @@ def syslog(value: Column) -> Column:
     """timestamp, hostname, facility, severity, version, appname, procid, msgid, message, structured (data of RFC 5424 as a map)."""
     from .convert import FACILITIES, LEVELS, named
 
-    new, old = grouped(value, _RFC5424, dash=True), grouped(value, _RFC3164)
-    pick = lambda k: F.coalesce(new[k], old[k])
-    pri = pick("pri").cast("int")
-    year = F.concat(F.date_format(F.current_timestamp(), "yyyy "), F.regexp_replace(old["timestamp"], " +", " "))
-    at = F.coalesce(new["timestamp"].try_cast("timestamp"), old["timestamp"].try_cast("timestamp"), F.try_to_timestamp(year, F.lit("yyyy MMM d HH:mm:ss")))
-    blocks = F.regexp_extract_all(new["data"], F.lit(r'\[(?:[^\]\\"]|"(?:[^"\\]|\\.)*")*\]'), F.lit(0))
-    name = lambda b: F.regexp_extract(b, r"^\[([^\s\]]+)", 1)
-    params = lambda b: F.transform(F.regexp_extract_all(b, F.lit(r'([^\s=\["]+)="((?:[^"\\]|\\.)*)"'), F.lit(0)), lambda p: F.struct(F.concat(name(b), F.lit("."), F.substring_index(p, "=", 1)).alias("key"), F.regexp_replace(F.regexp_extract(p, r'(?s)="(.*)"$', 1), r'\\(["\\\]])', "$1").alias("value")))
-    structured = F.map_from_entries(F.flatten(F.transform(blocks, params)))
-    return F.when(new.isNotNull() | old.isNotNull(), F.struct(
-        at.alias("timestamp"), pick("hostname").alias("hostname"), named(FACILITIES, F.floor(pri / 8)).alias("facility"), named(LEVELS, pri % 8).alias("severity"),
-        new["version"].cast("int").alias("version"), pick("appname").alias("appname"), pick("procid").alias("procid"), new["msgid"].alias("msgid"), F.trim(pick("message")).alias("message"), structured.alias("structured"),
-    ))
+    def fields(found: Column) -> Column:
+        new, old = found["new"], found["old"]
+        pick = lambda k: F.coalesce(new[k], old[k])
+        year = F.concat(F.date_format(F.current_timestamp(), "yyyy "), F.regexp_replace(old["timestamp"], " +", " "))
+        at = F.coalesce(new["timestamp"].try_cast("timestamp"), old["timestamp"].try_cast("timestamp"), F.try_to_timestamp(year, F.lit("yyyy MMM d HH:mm:ss")))
+        facility = bound(pick("pri").cast("int"), lambda pri: named(FACILITIES, F.floor(pri / 8)))
+        severity = bound(pick("pri").cast("int"), lambda pri: named(LEVELS, pri % 8))
+        blocks = F.regexp_extract_all(new["data"], F.lit(r'\[(?:[^\]\\"]|"(?:[^"\\]|\\.)*")*\]'), F.lit(0))
+        name = lambda b: F.regexp_extract(b, r"^\[([^\s\]]+)", 1)
+        params = lambda b: F.transform(F.regexp_extract_all(b, F.lit(r'([^\s=\["]+)="((?:[^"\\]|\\.)*)"'), F.lit(0)), lambda p: F.struct(F.concat(name(b), F.lit("."), F.substring_index(p, "=", 1)).alias("key"), F.regexp_replace(F.regexp_extract(p, r'(?s)="(.*)"$', 1), r'\\(["\\\]])', "$1").alias("value")))
+        # of a name given twice the last value holds
+        last = lambda every: F.filter(every, lambda e, i: ~F.exists(F.slice(every, i + 2, F.size(every)), lambda x: x["key"] == e["key"]))
+        structured = F.map_from_entries(bound(F.flatten(F.transform(blocks, params)), last))
+        return F.when(new.isNotNull() | old.isNotNull(), F.struct(
+            at.alias("timestamp"), pick("hostname").alias("hostname"), facility.alias("facility"), severity.alias("severity"),
+            new["version"].try_cast("int").alias("version"), pick("appname").alias("appname"), pick("procid").alias("procid"), new["msgid"].alias("msgid"), F.trim(pick("message")).alias("message"), structured.alias("structured"),
+        ))
+
+    def read(v: Column) -> Column:
+        # no line fits both: after the priority one has a version, the other a date
+        new = grouped(v, _RFC5424, dash=True)
+        return bound(new, lambda x: bound(F.struct(x.alias("new"), F.when(x.isNull(), grouped(v, _RFC3164)).alias("old")), fields))
+
+    return bound(value, read)
 
 
 @function("parse_syslog", "value", fallible=True)
@@ -185,7 +202,7 @@ _GLOG_LEVELS = {"I": "info", "W": "warning", "E": "error", "F": "fatal"}
 
 def _leveled(found: Column) -> Column:
     level = F.create_map(*[F.lit(x) for kv in _GLOG_LEVELS.items() for x in kv])
-    return F.when(found.isNotNull(), found.withField("level", F.element_at(level, found["level"])))
+    return bound(found, lambda x: F.when(x.isNotNull(), x.withField("level", F.element_at(level, x["level"]))))
 
 
 @function("parse_glog", "value", fallible=True)
@@ -197,8 +214,8 @@ def parse_glog(value: Column) -> Column:
 def parse_klog(value: Column) -> Column:
     """The year is the current one, as the text has none."""
     found = grouped(value, _KLOG, {"id": "bigint", "line": "bigint"})
-    at = F.try_to_timestamp(F.concat(F.date_format(F.current_timestamp(), "yyyy"), found["timestamp"]), F.lit("yyyyMMdd HH:mm:ss.SSSSSS"))
-    return _leveled(F.when(found.isNotNull(), found.withField("timestamp", at)))
+    at = lambda x: F.try_to_timestamp(F.concat(F.date_format(F.current_timestamp(), "yyyy"), x["timestamp"]), F.lit("yyyyMMdd HH:mm:ss.SSSSSS"))
+    return _leveled(bound(found, lambda x: F.when(x.isNotNull(), x.withField("timestamp", at(x)))))
 
 
 #: Fields of a load balancer's log, in order, with the types of those that are not text.

@@ -90,6 +90,11 @@ def call(name: str, *args, **named) -> Column:
     return f.build(**every)
 
 
+def bound(value: Column, build: Callable[[Column], Column]) -> Column:
+    """What ``build`` makes of a value that it uses more than once: the value is worked out once a row."""
+    return F.get(F.transform(F.array(value), build), 0)
+
+
 def named_groups(pattern: str) -> tuple[str, dict[str, int], int]:
     """A pattern with plain groups in place of named ones, the names with their numbers, and how many groups there are."""
     places, number, i, inside = {}, 0, 0, False
