@@ -40,3 +40,16 @@ def test_values_that_need_one_another(spark):
     program = "o = parse_json!(.x)\ni = parse_json!(string!(o.a))\np = parse_key_value!(.y)\n.b = int!(i.b)\n.k = string!(p.k)"
     assert [tuple(r) for r in remap(rows, program).select("b", "k").collect()] == [(2, "v"), (None, None)]
     assert set(remap(rows, program).columns) == {"x", "y", "b", "k"}
+
+
+def test_codecs_hold_few_rows_and_run_once(spark, data):
+    plan = plan_of(QUERIES["fn_compression"](spark, data))
+    # an Arrow batch of long documents and all that is made of them does not fit a worker
+    assert "ArrowEvalPython" not in plan and plan.count("BatchEvalPython") == 1
+
+
+def test_documents_without_text_are_left_out(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a"), (2, None), (3, "")], "doc_id long, text string")
+    rows.write.parquet(f"{tmp_path}/documents.parquet")
+    out = QUERIES["fn_compression"](spark, str(tmp_path)).collect()
+    assert sorted(r.doc_id for r in out) == [1, 3] and all(r.lz4 == r.gzip == r.sixty for r in out)

@@ -13,7 +13,7 @@ from base64 import b64decode
 from pyspark.sql import Column, functions as F
 
 from .convert import text_of
-from .registry import Value, function, python
+from .registry import Value, function, python_few
 
 
 def object_map(v: Value) -> Column:
@@ -105,7 +105,7 @@ def _text(x: bytes) -> str:
 
 
 for _n, _pack, _unpack in (("gzip", lambda b: gzip.compress(b, mtime=0), gzip.decompress), ("zlib", zlib.compress, zlib.decompress)):
-    function(f"encode_{_n}", "value")(lambda value, f=_pack: python(lambda x: f(_bytes(x)), "binary", value))
+    function(f"encode_{_n}", "value")(lambda value, f=_pack: python_few(lambda x: f(_bytes(x)), "binary", value))
 
     def _unpacker(value, f=_unpack):
         def run(x):
@@ -114,7 +114,7 @@ for _n, _pack, _unpack in (("gzip", lambda b: gzip.compress(b, mtime=0), gzip.de
             except (OSError, EOFError, zlib.error) as e:
                 raise ValueError(str(e)) from e
 
-        return python(run, "string", value)
+        return python_few(run, "string", value)
 
     function(f"decode_{_n}", "value", fallible=True)(_unpacker)
 
@@ -126,7 +126,7 @@ def encode_zstd(value: Column, compression_level: int = 3) -> Column:
 
         return zstandard.ZstdCompressor(compression_level).compress(_bytes(x))
 
-    return python(run, "binary", value)
+    return python_few(run, "binary", value)
 
 
 @function("decode_zstd", "value", fallible=True)
@@ -139,7 +139,7 @@ def decode_zstd(value: Column) -> Column:
         except zstandard.ZstdError as e:
             raise ValueError(str(e)) from e
 
-    return python(run, "string", value)
+    return python_few(run, "string", value)
 
 
 def _arrow_codec(name: str):
@@ -164,28 +164,28 @@ def _arrow_codec(name: str):
 
 for _n, _codec in (("snappy", "snappy"), ("lz4", "lz4_raw")):
     _p, _u = _arrow_codec(_codec)
-    function(f"encode_{_n}", "value")(lambda value, f=_p: python(f, "binary", value))
-    function(f"decode_{_n}", "value", fallible=True)(lambda value, f=_u: python(f, "string", value))
+    function(f"encode_{_n}", "value")(lambda value, f=_p: python_few(f, "binary", value))
+    function(f"decode_{_n}", "value", fallible=True)(lambda value, f=_u: python_few(f, "string", value))
 
 
 @function("encode_charset", "value", "to_charset", literal="to_charset")
 def encode_charset(value: Column, to_charset: str) -> Column:
-    return python(lambda x: x.encode(to_charset), "binary", value)
+    return python_few(lambda x: x.encode(to_charset), "binary", value)
 
 
 @function("decode_charset", "value", "from_charset", literal="from_charset", fallible=True)
 def decode_charset(value: Column, from_charset: str) -> Column:
-    return python(lambda x: _bytes(x).decode(from_charset), "string", value)
+    return python_few(lambda x: _bytes(x).decode(from_charset), "string", value)
 
 
 @function("encode_punycode", "value", fallible=True)
 def encode_punycode(value: Column) -> Column:
-    return python(lambda s: ".".join(p if p.isascii() else "xn--" + p.lower().encode("punycode").decode() for p in s.split(".")), "string", value)
+    return python_few(lambda s: ".".join(p if p.isascii() else "xn--" + p.lower().encode("punycode").decode() for p in s.split(".")), "string", value)
 
 
 @function("decode_punycode", "value", fallible=True)
 def decode_punycode(value: Column) -> Column:
-    return python(lambda s: ".".join(p[4:].encode().decode("punycode") if p.lower().startswith("xn--") else p for p in s.split(".")), "string", value)
+    return python_few(lambda s: ".".join(p[4:].encode().decode("punycode") if p.lower().startswith("xn--") else p for p in s.split(".")), "string", value)
 
 
 _MIME = re.compile(r"=\?([^?]+)\?([QqBb])\?([^?]*)\?=")
@@ -199,7 +199,7 @@ def decode_mime_q(value: Column) -> Column:
         raw = b64decode(m[3]) if m[2] in "Bb" else quopri.decodestring(m[3].replace("_", " "))
         return raw.decode(m[1])
 
-    return python(lambda s: _MIME.sub(one, re.sub(r"(\?=)\s+(=\?)", r"\1\2", s)), "string", value)
+    return python_few(lambda s: _MIME.sub(one, re.sub(r"(\?=)\s+(=\?)", r"\1\2", s)), "string", value)
 
 
 #: Encryption by name: Spark's mode and padding.
@@ -223,7 +223,7 @@ def decrypt(ciphertext: Column, algorithm: str, key: Column, iv: Column) -> Colu
 @function("hmac", "value", "key", "algorithm='SHA-256'", literal="algorithm")
 def hmac(value: Column, key: Column, algorithm: str = "SHA-256") -> Column:
     name = {"SHA1": "sha1", "SHA-224": "sha224", "SHA-256": "sha256", "SHA-384": "sha384", "SHA-512": "sha512"}[algorithm]
-    return python(lambda v, k: _hmac.new(_bytes(k), _bytes(v), name).digest(), "binary", value, key)
+    return python_few(lambda v, k: _hmac.new(_bytes(k), _bytes(v), name).digest(), "binary", value, key)
 
 
 @function("md5", "value")
@@ -242,13 +242,13 @@ def sha2(value: Column, variant: str = "SHA-512/256") -> Column:
     if variant in plain:
         return F.sha2(value.cast("binary"), plain[variant])
     name = {"SHA-512/224": "sha512_224", "SHA-512/256": "sha512_256"}[variant]
-    return python(lambda x: hashlib.new(name, _bytes(x)).hexdigest(), "string", value)
+    return python_few(lambda x: hashlib.new(name, _bytes(x)).hexdigest(), "string", value)
 
 
 @function("sha3", "value", "variant='SHA3-512'", literal="variant")
 def sha3(value: Column, variant: str = "SHA3-512") -> Column:
     name = variant.replace("SHA3-", "sha3_")
-    return python(lambda x: hashlib.new(name, _bytes(x)).hexdigest(), "string", value)
+    return python_few(lambda x: hashlib.new(name, _bytes(x)).hexdigest(), "string", value)
 
 
 @function("crc", "value", "algorithm='CRC_32_ISO_HDLC'", literal="algorithm")
@@ -266,7 +266,7 @@ def xxhash(value: Column, variant: str = "XXH32") -> Column:
         out = {"XXH32": lib.xxh32_intdigest, "XXH64": lib.xxh64_intdigest, "XXH3-64": lib.xxh3_64_intdigest}[variant](_bytes(x))
         return out - 2**64 if out >= 2**63 else out
 
-    return python(run, "bigint", value)
+    return python_few(run, "bigint", value)
 
 
 _MASK = 2**64 - 1
@@ -292,7 +292,7 @@ def seahash(value: Column) -> Column:
         out = sea(_bytes(x))
         return out - 2**64 if out >= 2**63 else out
 
-    return python(run, "bigint", value)
+    return python_few(run, "bigint", value)
 
 
 @function("encode_proto", "value", "desc_file", "message_type", literal="desc_file message_type")
