@@ -53,3 +53,37 @@ def test_documents_without_text_are_left_out(spark, tmp_path):
     rows.write.parquet(f"{tmp_path}/documents.parquet")
     out = QUERIES["fn_compression"](spark, str(tmp_path)).collect()
     assert sorted(r.doc_id for r in out) == [1, 3] and all(r.lz4 == r.gzip == r.sixty for r in out)
+
+
+def test_costly_parsers_remember_short_texts():
+    from weirflow.functions import registry
+
+    met = []
+
+    def fn(x):
+        met.append(x)
+        if x == "bad":
+            raise ValueError(x)
+        return x * 2
+
+    run = registry.remembered(fn)
+    assert [run(x) for x in ["a", "b", "a"]] == ["aa", "bb", "aa"] and met == ["a", "b"]
+    long = "x" * (registry.SHORT + 1)
+    assert run(long) == run(long) == long * 2 and met[2:] == [long, long]
+    for _ in range(2):
+        try:
+            run("bad")
+            raise AssertionError("it was read")
+        except ValueError:
+            pass
+    for i in range(registry.KEPT + 10):
+        assert run(str(i)) == str(i) * 2
+    kept = run.__closure__[[c for c in run.__code__.co_freevars].index("kept")].cell_contents
+    assert len(kept) <= registry.KEPT
+
+
+def test_trees_of_many_and_equal_texts(spark):
+    rows = spark.createDataFrame([("a: 1\nb: [x, ~]",), ("a:\tb",), ("a: [1",), ("a: 1\nb: [x, ~]",), (None,), ("",)], "v string").coalesce(1)
+    found = [r.x for r in rows.select(F.to_json(call("parse_yaml", F.col("v"))).alias("x")).collect()]
+    # a tab after a colon is a space, as in libyaml
+    assert found == ['{"a":1,"b":["x",null]}', '{"a":"b"}', None, '{"a":1,"b":["x",null]}', None, "null"]

@@ -130,8 +130,35 @@ def python_few(fn: Callable, returns: str, *columns: Column) -> Column:
     return F.udf(run, returns, useArrow=False)(*columns)
 
 
-def python(fn: Callable, returns: str, *columns: Column) -> Column:
-    """A Python function over Arrow batches; null where it raises ValueError or an argument is null."""
+#: How many short texts a worker remembers what a pure function made of, and how short they are.
+KEPT, SHORT = 8192, 256
+
+
+def remembered(fn: Callable) -> Callable:
+    """A pure function of a text that is not run again for a short text that it has met of late."""
+    kept: dict = {}
+
+    def run(x):
+        if type(x) is not str or len(x) > SHORT:
+            return fn(x)
+        if x not in kept:
+            y = fn(x)
+            if type(y) is str and len(y) > 8 * SHORT:
+                return y
+            if len(kept) >= KEPT:
+                kept.clear()
+            kept[x] = y
+        return kept[x]
+
+    return run
+
+
+def python(fn: Callable, returns: str, *columns: Column, pure: bool = False) -> Column:
+    """A Python function over Arrow batches; null where it raises ValueError or an argument is null.
+
+    ``pure`` tells that a function of one text gives the same for the same text, and is costly enough to remember it.
+    """
+    fn = remembered(fn) if pure else fn
 
     def run(*series: pd.Series) -> pd.Series:
         out = []
